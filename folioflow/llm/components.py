@@ -31,3 +31,36 @@ def components(edges: DataFrame) -> DataFrame:
             left = left.join(hook.select(F.col("v").alias(c), "to"), c).drop(c).withColumnRenamed("to", c)
         left = stage(left.select("a", "b").filter("a <> b").distinct(), "links")
     return labels
+
+
+def linked_by_buckets(buckets: DataFrame, verify, shared: int = 1, may_link: str = "true") -> DataFrame:
+    """Components of units that meet in buckets and pass ``verify``; no bucket ever emits all its pairs.
+
+    ``buckets``: token long, unit long, lead boolean, sig long. ``may_link``: SQL over the units' signatures asig and
+    bsig that holds for every pair that links. Two units are candidates if they share ``shared`` tokens in
+    which one of them leads. ``verify`` takes pairs (a, b) and returns those that link.
+
+    First each member of a bucket meets the smallest and the largest leading unit only. Then, in buckets whose
+    members are not yet one component, the members outside the bucket's major component meet all whose
+    component differs. Pairs inside a component need no check, so the components are those of all links.
+    """
+    leads = buckets.filter("lead").groupBy("token").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi"))
+    lists = buckets.join(leads, "token").filter("lo <> hi OR unit <> lo")
+    lists = stage(lists.groupBy("token", "unit", "lo", "hi").agg(F.max("lead").alias("lead"), F.max("sig").alias("sig")), "lists")
+    rays = lists.select(F.col("unit").alias("a"), F.col("lo").alias("b")).union(lists.select("unit", "hi")).filter("a <> b")
+    rays = rays.selectExpr("least(a, b) a", "greatest(a, b) b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    rays = stage(rays.filter(F.col("c") >= shared).select("a", "b"), "rays")
+    first = verify(rays)
+    comps = components(first)
+    held = lists.select("token", "unit", "lead", "sig").join(comps.withColumnRenamed("node", "unit"), "unit", "left")
+    held = stage(held.withColumn("comp", F.coalesce("comp", "unit")), "held")
+    mixed = held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    major = held.join(mixed, "token", "left_semi").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    major = major.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    marked = stage(held.join(major, "token"), "marked")
+    a = marked.filter("comp <> major").selectExpr("token", "unit a", "comp ac", "lead al", "sig asig")
+    b = marked.selectExpr("token", "unit b", "comp bc", "lead bl", "sig bsig", "comp = major bm")
+    met = a.join(b, "token").filter("ac <> bc AND (al OR bl) AND (bm OR a < b)").filter(may_link).selectExpr("least(a, b) a", "greatest(a, b) b")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= shared).select("a", "b")
+    second = verify(stage(met.join(rays, ["a", "b"], "left_anti"), "met"))
+    return components(second.select("a", "b").union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
