@@ -1,8 +1,8 @@
 """Copies among images in a binary column: local descriptors, Hamming tables, geometric consensus.
 
 Corners are found at several scales; each gets an orientation from the centroid of its patch and 256 binary
-tests turned by it. Descriptors meet in tables of 32-bit bands (two within 7 bits share a band whole; a copy
-needs only some of its many corners to meet). Images that share enough bands are compared corner by corner, and
+tests turned by it. Descriptors meet in tables of four 64-bit bands (two within 3 bits share a band whole; a copy
+needs only some of its many corners to meet, and shorter bands of plain corners meet in unrelated images). Images that share enough bands are compared corner by corner, and
 link if enough matches agree on one similarity transform, as in a crop, a turn or a change of light.
 """
 
@@ -160,9 +160,11 @@ def agreeing(pa: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) ->
 
 
 def bands(words: np.ndarray) -> np.ndarray:
-    """Distinct table keys of an image: band number and the 32 bits of the band."""
-    parts = words.view(np.uint32).astype(np.int64)
-    return np.unique(parts + (np.arange(parts.shape[1], dtype=np.int64) << 32))
+    """Distinct table keys of an image: the 64 bits of each band, mixed with the band's number."""
+    salt = np.arange(1, words.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = words ^ salt
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(x ^ (x >> np.uint64(29))).view(np.int64)
 
 
 def media_classes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
@@ -243,9 +245,11 @@ def rendered(embedding: np.ndarray, view_id: int) -> bytes:
             scene[max(0, cy - h) : cy + h, max(0, cx - w) : cx + w] = tone
         else:
             scene[(x - cx) ** 2 / w**2 + (y - cy) ** 2 / h**2 <= 1] = tone
+    grain = sum(box(rng.normal(0, 1, scene.shape), r) * (2 * r + 1) for r in (1, 2, 4))
+    scene += 22 * grain
     edit = np.random.default_rng(zlib.crc32(str(view_id).encode()))
     top, left = edit.integers(0, SCENE - VIEW + 1, 2)
-    view = scene[top : top + VIEW, left : left + VIEW] * edit.uniform(0.85, 1.1) + edit.uniform(-10, 10) + edit.normal(0, 1.0, (VIEW, VIEW))
+    view = scene[top : top + VIEW, left : left + VIEW] * edit.uniform(0.85, 1.1) + edit.uniform(-10, 10) + edit.normal(0, 0.7, (VIEW, VIEW))
     return write_pgm(np.clip(view, 0, 255))
 
 
