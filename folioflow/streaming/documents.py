@@ -9,10 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.parsers import BINARY
 from ..sources.reader import parse
 
+FILES = "path string, modificationTime timestamp, length long, content binary"  # fixed value: rows of binaryFile
+
 
 def read_folder(spark: SparkSession, folder: str, fmt: str, pattern: str = "*", **options) -> DataFrame:
     """Events of the files of a folder, as a stream; the path is the document id."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder)
     source = F.col("content") if fmt in BINARY else F.decode("content", "UTF-8")
     return parse(files.select("path", source.alias("source_text")), fmt, id_col="path", **options)
 
