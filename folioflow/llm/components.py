@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_staged, stage
 
 JUMPS = 2
 
@@ -23,13 +23,18 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("to"))
         hook = stage(hook, "hooks")
+        spent = [left, labels]
         for _ in range(JUMPS):
+            spent.append(hook)
             up = hook.select(F.col("v").alias("_v"), F.col("to").alias("_to"))
             hook = stage(hook.join(up, hook["to"] == up["_v"], "left").select("v", F.coalesce("_to", "to").alias("to")), "hooks")
         labels = stage(labels.join(hook, labels["comp"] == hook["v"], "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
         for c in ("a", "b"):
             left = left.join(hook.select(F.col("v").alias(c), "to"), c).drop(c).withColumnRenamed("to", c)
         left = stage(left.select("a", "b").filter("a <> b").distinct(), "links")
+        for old in [*spent, hook]:
+            drop_staged(old)
+    drop_staged(left)
     return labels
 
 

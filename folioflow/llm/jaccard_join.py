@@ -7,9 +7,11 @@
 3. Nodes of equal size and equal prefix are one *group*; only groups enter the index (shingle, group).
 4. Stars: each posting list links its members to its smallest and largest group only, and each group its nodes
    to one node. These pairs are verified and give first components. A list never emits all its pairs.
-5. What is left: pairs in one list whose components differ, counted from the smaller components' side. The number
-   of shared prefix shingles bounds the intersection from above, which rejects most; the rest expand
-   to nodes and are verified. A pair inside one component needs no check, so no link is lost for the components.
+5. What is left: pairs in one list whose components differ, counted from the smaller components' side. Prefixes that
+   reach into the hot shingles hold all others of their sets: of those, only the ones with a list can be shared
+   with another such set, which bounds intersections before anything meets. The number of shared prefix shingles
+   bounds the intersection as well; the rest expand to nodes and are verified. A pair inside one component needs
+   no check, so no link is lost for the components.
 6. Components of all verified links.
 """
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, text_or_empty
+from .common import bounded_batches, drop_staged, stage, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -34,6 +36,8 @@ CHUNK_SHINGLES = 4_000_000
 #: More rounds of stars: while the pairs left are over ENOUGH a row outside the major components, up to ROUNDS, and
 #: while a round links over LEAST_GAIN of the pairs that it tries. They only decide how pairs are found, not which.
 ROUNDS, SLICES, ENOUGH, LEAST_GAIN = 6, 4, 16, 0.05
+#: Bit of a hot shingle in the common order.
+HOT_BIT = 1 << 62
 #: Fixed odd multipliers of the five places of a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -176,20 +180,21 @@ def hot_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def prefix_of(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order: by hash, hot ones last (bit 62)."""
+    """The first shingles of a set in the common order: by hash, hot ones last (HOT_BIT)."""
     p = prefix_size(len(found))
     if len(hot):
         at = np.searchsorted(hot, found)
         is_hot = hot[np.minimum(at, len(hot) - 1)] == found
         if is_hot.any():
-            found = np.concatenate([found[~is_hot], found[is_hot] | (1 << 62)])
+            found = np.concatenate([found[~is_hot], found[is_hot] | HOT_BIT])
     return found[:p]
 
 
-def group_index(docs: DataFrame, text_col: str, hot) -> tuple[DataFrame, DataFrame]:
-    """members (grp, node, n, mx, p) and index (token, grp), each row once per task at least.
+def group_index(docs: DataFrame, text_col: str, hot) -> DataFrame:
+    """Rows of members (grp, node, n, mx, p, hot) without token and of the index (token, grp), each once per task at least.
 
-    mx: the last shingle of the prefix in the common order.
+    mx: the last shingle of the prefix in the common order; hot: hot shingles of the set if the prefix reaches them,
+    else null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,21 +212,20 @@ def group_index(docs: DataFrame, text_col: str, hot) -> tuple[DataFrame, DataFra
                     groups.add(grp)
                     tokens.append(prefix)
                     rows = len(prefix)
-                head.append((grp, node, len(found), int(prefix[-1]), len(prefix), rows))
+                plain = int(np.searchsorted(prefix, HOT_BIT))
+                head.append((grp, node, len(found), int(prefix[-1]), len(prefix), len(found) - plain if plain < len(prefix) else None, rows))
             if head:
-                h = pd.DataFrame(head, columns=["grp", "node", "n", "mx", "p", "rows"])
+                h = pd.DataFrame(head, columns=["grp", "node", "n", "mx", "p", "hot", "rows"])
                 n = sum(map(len, tokens))
                 absent = pd.array([pd.NA] * n, dtype="Int64")
-                body = pd.DataFrame({"token": pd.array(np.concatenate(tokens), dtype="Int64"), "grp": np.repeat(h["grp"].to_numpy(), h["rows"]), "node": absent, "n": absent, "mx": absent, "p": absent}) if n else None
-                lead = h.drop(columns="rows").astype({c: "Int64" for c in ("node", "n", "mx", "p")})
+                body = pd.DataFrame({"token": pd.array(np.concatenate(tokens), dtype="Int64"), "grp": np.repeat(h["grp"].to_numpy(), h["rows"]), "node": absent, "n": absent, "mx": absent, "p": absent, "hot": absent}) if n else None
+                lead = h.drop(columns="rows").astype({c: "Int64" for c in ("node", "n", "mx", "p", "hot")})
                 lead.insert(0, "token", pd.array([pd.NA] * len(h), dtype="Int64"))
                 yield lead
                 if body is not None:
                     yield body
 
-    both = stage(texts_of(docs, text_col).mapInPandas(run, "token long, grp long, node long, n long, mx long, p long"), "prefixes")
-    members = stage(both.filter("token IS NULL").select("grp", "node", "n", "mx", "p").distinct(), "members")
-    return members, both.filter("token IS NOT NULL").select("token", "grp")
+    return stage(texts_of(docs, text_col).mapInPandas(run, "token long, grp long, node long, n long, mx long, p long, hot long"), "prefixes")
 
 
 def sets_of(docs: DataFrame, digests: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -247,7 +251,10 @@ def verified(pairs: DataFrame, docs: DataFrame, digests: DataFrame, id_col: str,
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     linked = both.filter(PER * same >= NEED * (F.size("sa") + F.size("sb") - same))
-    return stage(linked.select("a", "b"), "linked")
+    linked = stage(linked.select("a", "b"), "linked")
+    drop_staged(sets)
+    drop_staged(pairs)
+    return linked
 
 
 def may_link(na, nb, pa, pb, ma, mb, shared):
@@ -256,24 +263,32 @@ def may_link(na, nb, pa, pb, ma, mb, shared):
     return ((NEED + PER) * (shared + rest) >= NEED * (na + nb)) & (PER * F.least(na, nb) >= NEED * F.greatest(na, nb))
 
 
-def left_between(members: DataFrame, lists: DataFrame, group: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def left_between(members: DataFrame, lists: DataFrame, sizes: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """units (grp, node, comp); list rows of shingles met in several components; these with the list's major one."""
     units = stage(members.join(comps, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp")), "units")
     held = lists.select("token", "grp").join(units.select("grp", "comp").distinct(), "grp")
     mixed_lists = held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     held = stage(held.join(mixed_lists, "token", "left_semi"), "held")
     major = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    return units, held, stage(held.join(major, "token").join(group.select("grp", "n"), "grp"), "marked")
+    return units, held, stage(held.join(major, "token").join(sizes, "grp"), "marked")
 
 
 def linked_nodes(docs: DataFrame, digests: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Components (node, comp) of nodes under verified links."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_shingles(docs, text_col))
-    members, index = group_index(docs, text_col, hot)
-    group = stage(members.groupBy("grp").agg(F.first("n").alias("n"), F.first("mx").alias("mx"), F.first("p").alias("p"), F.min("node").alias("lead")), "groups")
+    prefixes = group_index(docs, text_col, hot)
+    members = stage(prefixes.filter("token IS NULL").select("grp", "node", "n", "mx", "p", "hot").distinct(), "members")
+    index = prefixes.filter("token IS NOT NULL").select("token", "grp")
+    group = stage(members.groupBy("grp").agg(F.first("n").alias("n"), F.first("mx").alias("mx"), F.first("p").alias("p"), F.first("hot").alias("hot"), F.min("node").alias("lead")), "groups")
+    # Aggregate, join and distinct all use this one exchange.
+    index = index.repartition("token")
     ends = index.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi")
-    lists = stage(index.join(ends, "token").distinct(), "lists")
+    lists = stage(index.join(ends.hint("merge"), "token").distinct(), "lists")
+    drop_staged(prefixes)
+    # listed: shingles other than hot ones that have a list.
+    listed = lists.filter(F.col("token") < HOT_BIT).groupBy("grp").agg(F.count(F.lit(1)).alias("listed"))
+    sizes = stage(group.select("grp", "n", "hot").join(listed, "grp", "left").fillna(0, ["listed"]), "sizes")
 
     # Stars.
     side = lambda x: group.select(*[F.col(c).alias(f"{x}_{c}") for c in ("grp", "n", "mx", "p", "lead")])
@@ -286,7 +301,7 @@ def linked_nodes(docs: DataFrame, digests: DataFrame, id_col: str, text_col: str
     comps = components(first)
 
     # More stars while that saves pairs: each unit outside a list's major component meets members of it.
-    units, held, marked = left_between(members, lists, group, comps)
+    units, held, marked = left_between(members, lists, sizes, comps)
     for r in range(ROUNDS):
         load = marked.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr("int(comp <> major)")).alias("m"))
         load, minors = load.agg(F.sum(F.col("k") * F.col("m")), F.sum("m")).first()
@@ -302,17 +317,20 @@ def linked_nodes(docs: DataFrame, digests: DataFrame, id_col: str, text_col: str
         gained = found.count()
         if gained:
             comps = components(found.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-            units, held, marked = left_between(members, lists, group, comps)
+            for old in (units, held, marked):
+                drop_staged(old)
+            units, held, marked = left_between(members, lists, sizes, comps)
         if gained < LEAST_GAIN * met.count():
             break
 
     # What is left between components.
     group_comps = units.select("grp", "comp").distinct()
-    a = marked.filter("comp <> major").select("token", F.col("grp").alias("a_grp"), F.col("comp").alias("a_comp"), F.col("n").alias("an"))
-    b = marked.select("token", F.col("grp").alias("b_grp"), F.col("comp").alias("b_comp"), F.col("n").alias("bn"), (F.col("comp") == F.col("major")).alias("b_major"))
+    a = marked.filter("comp <> major").selectExpr("token", "grp a_grp", "comp a_comp", "n an", "listed al", "hot ah")
+    b = marked.selectExpr("token", "grp b_grp", "comp b_comp", "n bn", "listed bl", "hot bh", "comp = major b_major")
     met = a.join(b, "token").filter(
         "a_comp <> b_comp AND a_grp <> b_grp AND (b_major OR (a_grp, a_comp) < (b_grp, b_comp))"
         f" AND {PER} * least(an, bn) >= {NEED} * greatest(an, bn)"
+        f" AND (ah IS NULL OR bh IS NULL OR {NEED + PER} * (least(al, bl) + least(ah, bh)) >= {NEED} * (an + bn))"
     )
     met = met.select("a_grp", "a_comp", "b_grp", "b_comp")
     # One row for a pair of units, whichever side was the smaller in a list.
