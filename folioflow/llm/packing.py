@@ -8,6 +8,7 @@ and packed again. Rows are narrow (no token ids): ids are made, digested and dro
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,40 +18,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stage, text_or_empty
+from .token_counts import byte_alphabet
 
 GROUP_PIECES = 65_536
 ROUNDS = 4
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 CACHE_CHARS = 64
+#: Letters beyond ASCII that NFC leaves alone and that lower-case one by one.
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+PLAIN = re.compile(f"[\n -~{LETTERS}]*").fullmatch
+#: The split pattern of this vocabulary for lower-cased PLAIN texts. Letters come first, as most words are of them;
+#: no other alternative starts with a letter.
+WORDS = re.compile(f"[a-z{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-z0-9{LETTERS}]+").findall
 
 
-class ChunkIds(dict):
-    """Packed little-endian ids of a chunk of text between two spaces, encoded on its first look-up.
+class Recent(dict):
+    """A cache of two generations: a full young one becomes the old one, and what is asked for again comes back.
 
-    The vocabulary drops white space and never joins text across it, so chunks encode on their own.
+    Memory is bounded by twice CACHE_ENTRIES of up to CACHE_CHARS characters, whatever the corpus.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, make):
         super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class TextIds:
+    """Packed little-endian ids of a text, as the library gives them.
+
+    The vocabulary lower-cases, drops white space and never joins text across it. In texts of PLAIN characters
+    its words are found by WORDS, and each word is merged by the library's model on its first look-up. Other
+    texts are cut at spaces, and chunks that are not plain go through the whole library.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.signs = {b: c for c, b in byte_alphabet().items()}
+        self.words, self.chunks = Recent(self.word), Recent(self.chunk)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def word(self, word: str) -> bytes:
+        signs = word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode()))
+        return np.asarray([t.id for t in self.merge(signs)], dtype="<u4").tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        if PLAIN(chunk) and "<|" not in chunk:
+            return self.plain(chunk)
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORDS(text.lower())))
 
     def document(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        if PLAIN(text) and "<|" not in text:
+            return self.plain(text)
+        return b"".join(map(self.chunks.__getitem__, text.split(" ")))
 
 
-_IDS: dict[str, ChunkIds] = {}
+_IDS: dict[str, TextIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -59,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end, step = np.asarray([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _IDS.get(tokenizer_path) or _IDS.setdefault(tokenizer_path, ChunkIds(tokenizer_path))
+        ids = _IDS.get(tokenizer_path) or _IDS.setdefault(tokenizer_path, TextIds(tokenizer_path))
         for batch in batches:
             out = []
             for doc, missing, text in zip(batch["doc_id"], batch["null_id"], batch["text"], strict=True):
