@@ -271,3 +271,11 @@ def test_media(spark):
     assert got[15]["n_corners"] == 0
     odd = spark.createDataFrame([(1, b"junk"), (2, b"junk"), (3, b"")], "vec_id long, image binary")
     assert {r["vec_id"]: r["class_id"] for r in media_copies.media_classes(odd, "vec_id", "image").collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_word_ids_equal_the_library():
+    """Plain texts, contractions, case, composed and combining letters, special strings and their upper case."""
+    found = packing.TextIds(WORD)
+    texts = ["", " ", "It's WE'LL i'M 'Tis 2048 a1b2", "Straße ÀÉ Œuvre Ÿ ž", "T̈ é İ ſ ΑΣ ς", "<|endoftext|> <|ENDOFTEXT|> a<|b", "x\ty\r\nz w", "漢字 한글 👍", "a" * 5000, "...!!,,'s's"]
+    for text in texts * 2:  # the second time from the cache
+        assert found.document(text) == np.asarray(found.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
