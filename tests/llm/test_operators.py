@@ -237,6 +237,31 @@ def test_licenses(docs, empty):
     assert license_scan.license_matches(docs, {}).count() == 0
 
 
+def test_licence_lines_that_are_no_copies_of_templates(spark):
+    header = "This file is part of Foo.\n# Foo is free software; you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation; either version {} of the License, or\n# (at your option) any later version."
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + license_scan.TEMPLATES["MIT-body"].replace("the Software", "this program")
+    gpl = license_scan.TEMPLATES["GPL-2.0-body"].split()
+    for at in range(150, len(gpl), 160):  # a page break each
+        gpl.insert(at, "Page")
+    texts = {
+        "Prose.\nAll rights reserved.\nMore prose.": ["reserved-bare"],
+        "All rights reserved. No part of this book may be reproduced": ["reserved"],
+        header.format("", 3): ["GPL-3.0-or-later-grant"],
+        header.format("", 2): ["GPL-2.0-or-later-grant"],
+        header.format("Lesser ", "2.1"): ["LGPL-2.1-or-later-grant"],
+        mit: ["MIT-body"],
+        " ".join(gpl): ["GPL-2.0-body"],
+        "// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) */": ["MIT", "GPL-2.0-only WITH Classpath-exception-2.0"],
+        "# SPDX-License-Identifier: Zlib. Prose and MIT": ["Zlib"],
+        "All right, he reserved a table. The terms of the license are in the software and the work of the author": [],
+    }
+    rows = license_scan.license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, (text, names) in enumerate(texts.items()):
+        found = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start_char"])
+        assert [r["license_id"] for r in found] == names, text[:80]
+        assert all(0 <= r["start_char"] < r["end_char"] <= len(text) for r in found)
+
+
 def test_pieces(docs, empty):
     import sentencepiece
 
