@@ -222,6 +222,16 @@ def test_lines(docs, empty):
     assert line_dedup.line_classes(empty).count() == 0
 
 
+def test_copies_of_short_lines(spark, tmp_path):
+    texts = ["Les.\n\nLet.\nA line of its own", "Les.\n\nx", "x\nLes", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["kept"]) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): (0, 0, True), (0, 2): (0, 2, True), (0, 3): (0, 3, True), (1, 0): (0, 0, False), (1, 2): (1, 2, True), (2, 0): (1, 2, False), (2, 1): (2, 1, True)}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(rows).collect()}
+    assert left == {0: texts[0], 1: "\nx", 2: "Les", 3: None}
+
+
 def test_licenses(docs, empty):
     t = license_scan.Templates(license_scan.TEMPLATES)
     for name, notice in license_scan.TEMPLATES.items():
