@@ -51,7 +51,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"), shortest=line_dedup.SHORTEST)
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), shortest=line_dedup.SHORTEST, percent=line_dedup.EDIT_PERCENT)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,48 @@ def test_copies_of_short_lines(spark, tmp_path):
     assert left == {0: texts[0], 1: "\nx", 2: "Les", 3: None}
 
 
+def changed_lines():
+    """Lines of 40 to 3500 characters, each with copies changed in one word, two words and some more characters."""
+    rng = random.Random(3)
+    out = []
+    for n in (40, 140, 149, 150, 153, 330, 430, 900, 1700, 3500):
+        line = ""
+        while len(line) < n:
+            line += "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) + " "
+        out.append(line[:n])
+        for words in (1, 2, 6):
+            w = line[:n].split(" ")
+            for k in rng.sample(range(len(w) - 1), words):
+                w[k] = "".join(rng.choice("klmn") for _ in range(len(w[k]) + rng.randint(-1, 1)))
+            out.append(" ".join(w))
+        for edits in (2, n // 50, n // 50 + 1):
+            chars = list(line[:n])
+            for k in range(edits):  # spread evenly, which leaves the shortest runs
+                chars[(k + 1) * n // (edits + 1) - 1] = "z"
+            out.append("".join(chars))
+    return out
+
+
+def test_edits_grow_with_length(spark, tmp_path):
+    lines = changed_lines()
+    allowed = lambda a, b: max(2, min(len(a), len(b)) // 50)
+    close = lambda a, b: abs(len(lines[a]) - len(lines[b])) <= allowed(lines[a], lines[b]) and line_dedup.wide_distance(lines[a], lines[b]) <= allowed(lines[a], lines[b])
+    roots = brute_components(list(range(len(lines))), close)
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["class_doc"] for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == roots
+    assert [got[7 * i + 1] for i in (6, 7, 8, 9)] == [42, 49, 56, 63]  # one word
+    assert [got[7 * i + 2] for i in (7, 8, 9)] == [49, 56, 63]  # two words
+    assert sum(i == r for i, r in roots.items()) > 20
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abé", max_size=60), st.text("abé", max_size=60), st.integers(5, 30))
+def test_distances_of_wide_bands(a, b, edits):
+    assert line_dedup.wide_distance(a, b) == distance(a, b)
+    assert line_dedup.band_distances([(a, b)], edits)[0] == min(distance(a, b), edits + 1)
+
+
 def test_licenses(docs, empty):
     t = license_scan.Templates(license_scan.TEMPLATES)
     for name, notice in license_scan.TEMPLATES.items():
