@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_staged, stage
 
 JUMPS = 2
+LEAST_BLOCK, BLOCK_UNITS = 32, 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,40 +33,85 @@ def components(edges: DataFrame) -> DataFrame:
         for c in ("a", "b"):
             left = left.join(hook.select(F.col("v").alias(c), "to"), c).drop(c).withColumnRenamed("to", c)
         left = stage(left.select("a", "b").filter("a <> b").distinct(), "links")
-        for old in [*spent, hook]:
-            drop_staged(old)
+        drop_staged(*spent, hook)
     drop_staged(left)
     return labels
 
 
-def linked_by_buckets(buckets: DataFrame, verify, shared: int = 1, may_link: str = "true") -> DataFrame:
-    """Components of units that meet in buckets and pass ``verify``; no bucket ever emits all its pairs.
+def blocks_of(marked: DataFrame, size: str) -> DataFrame:
+    """block, unit, comp, sig, alone. A unit's home is the component that is major in most of its lists; homes with
+    LEAST_BLOCK units of like size are dealt into blocks, members of the component apart from others."""
+    homes = marked.groupBy("unit", "major").agg(F.count(F.lit(1)).alias("k"), F.max("comp").alias("comp"), F.max("sig").alias("sig"))
+    homes = homes.groupBy("unit").agg(F.max_by("major", F.struct("k", "major")).alias("home"), F.max("comp").alias("comp"), F.max("sig").alias("sig"))
+    key = ["home", "inner", "class"]
+    homes = homes.withColumn("inner", F.col("comp") == F.col("home")).withColumn("class", F.floor(F.log(F.expr(size) + F.lit(1)) / F.log(F.lit(1.1))))
+    homes = homes.join(homes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
+    few = F.col("n") < LEAST_BLOCK
+    block = F.xxhash64(*key, F.pmod(F.xxhash64("unit"), F.ceil(F.col("n") / BLOCK_UNITS)))
+    return homes.select(F.when(few, F.col("unit")).otherwise(block).alias("block"), "unit", "comp", "sig", few.alias("alone"))
 
-    ``buckets``: token long, unit long, lead boolean, sig long. ``may_link``: SQL over the units' signatures asig and
-    bsig that holds for every pair that links. Two units are candidates if they share ``shared`` tokens in
-    which one of them leads. ``verify`` takes pairs (a, b) and returns those that link.
 
-    First each member of a bucket meets the smallest and the largest leading unit only. Then, in buckets whose
-    members are not yet one component, the members outside the bucket's major component meet all whose
-    component differs. Pairs inside a component need no check, so the components are those of all links.
+def linked_by_lists(lists: DataFrame, verify, may_link: str = "true", size: str = "0", shared: int = 1, apart: str = "", verify_blocks=None) -> DataFrame:
+    """Components of units that meet in lists and pass ``verify``; no list ever emits all its pairs.
+
+    ``lists``: token long, unit long, sig long, weight long, a staged table. Units of more weight are likelier to link. ``may_link``: SQL over the units' signatures asig and
+    bsig that holds for every pair that links. ``size``: SQL over sig; likely partners are near in it. Two units are
+    candidates if they share ``shared`` tokens. ``verify`` takes pairs (a, b) and returns those that link.
+
+    First each member of a list meets the next in size and the heaviest one only. Then, in lists whose members are not
+    yet one component, the members outside the list's major component meet all whose component differs and whose
+    signatures allow a link. Pairs inside a component need no check, so the components are those of all links.
+
+    With ``verify_blocks`` (for ``shared`` 1), units that stand around one component in great number meet in blocks of
+    BLOCK_UNITS: one row for two blocks, whose links ``verify_blocks`` finds from pairs (a, b) of blocks and members
+    (block, unit, comp, sig). ``apart``: SQL for the most that sizes of linked units differ, from ``x``, the smaller.
     """
-    leads = buckets.filter("lead").groupBy("token").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi"))
-    lists = buckets.join(leads, "token").filter("lo <> hi OR unit <> lo")
-    lists = stage(lists.groupBy("token", "unit", "lo", "hi").agg(F.max("lead").alias("lead"), F.max("sig").alias("sig")), "lists")
-    rays = lists.select(F.col("unit").alias("a"), F.col("lo").alias("b")).union(lists.select("unit", "hi")).filter("a <> b")
-    rays = rays.selectExpr("least(a, b) a", "greatest(a, b) b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    rays = stage(rays.filter(F.col("c") >= shared).select("a", "b"), "rays")
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.selectExpr("least(a, b) a", "greatest(a, b) b")
+        return pairs.distinct() if shared == 1 else pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= shared).select("a", "b")
+
+    def tagged(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        held = rows.join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
+        mixed = held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+        return held.join(mixed, "token", "left_semi")
+
+    # Half-open classes of sizes share out long lists.
+    sized = Window.partitionBy("token", F.floor(F.log2(F.expr(size) + F.lit(1)))).orderBy(F.expr(size), "sig", "unit")
+    beside = lists.select(F.col("unit").alias("a"), F.col("sig").alias("asig"), F.lag("unit").over(sized).alias("b"), F.lag("sig").over(sized).alias("bsig"))
+    top = lists.groupBy("token").agg(F.max(F.struct("weight", "unit", "sig")).alias("top"))
+    above = lists.join(top, "token").select(F.col("unit").alias("a"), F.col("sig").alias("asig"), F.col("top.unit").alias("b"), F.col("top.sig").alias("bsig"))
+    rays = stage(counted(beside.union(above).filter("a <> b").filter(may_link)), "rays")
     first = verify(rays)
     comps = components(first)
-    held = lists.select("token", "unit", "lead", "sig").join(comps.withColumnRenamed("node", "unit"), "unit", "left")
-    held = stage(held.withColumn("comp", F.coalesce("comp", "unit")), "held")
-    mixed = held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    major = held.join(mixed, "token", "left_semi").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    major = major.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    # Two units of equal tokens ahead of this one have met there, so they meet only where these differ.
+    order = Window.partitionBy("unit").orderBy("token")
+    listing = lists.withColumn("before", F.coalesce(F.lag("token").over(order), F.lit(-1)) if shared == 1 else F.lit(-1))
+    held = stage(tagged(listing, comps), "held")
+    major = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
     marked = stage(held.join(major, "token"), "marked")
-    a = marked.filter("comp <> major").selectExpr("token", "unit a", "comp ac", "lead al", "sig asig")
-    b = marked.selectExpr("token", "unit b", "comp bc", "lead bl", "sig bsig", "comp = major bm")
-    met = a.join(b, "token").filter("ac <> bc AND (al OR bl) AND (bm OR a < b)").filter(may_link).selectExpr("least(a, b) a", "greatest(a, b) b")
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= shared).select("a", "b")
-    second = verify(stage(met.join(rays, ["a", "b"], "left_anti"), "met"))
-    return components(second.select("a", "b").union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    drop_staged(held)
+    spent, third = [rays, first, marked], None
+    alone = marked
+    if verify_blocks is not None:
+        members = stage(blocks_of(marked, size), "blocks")
+        spent.append(members)
+        rows = marked.join(members.select("unit", "block", "alone"), "unit")
+        alone = rows.filter("alone")
+        many = rows.groupBy("token", "block", "alone").agg(F.max(F.col("comp") != F.col("major")).alias("minor"), F.min(F.expr(size)).alias("lo"), F.max(F.expr(size)).alias("hi"))
+        side = lambda df, x: df.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("block", "alone", "minor", "lo", "hi")])
+        pairs = side(many.filter("NOT alone"), "a").join(side(many, "b"), "token").filter(
+            f"(a_minor OR b_minor) AND (b_alone OR a_block <= b_block) AND greatest(a_lo - b_hi, b_lo - a_hi) <= {apart.format(x='least(a_hi, b_hi)')}"
+        )
+        pairs = stage(pairs.select(F.col("a_block").alias("a"), F.col("b_block").alias("b")).distinct(), "block-pairs")
+        third = verify_blocks(pairs, members)
+        spent += [pairs, third]
+    a = alone.filter("comp <> major").selectExpr("token", "unit a", "comp ac", "sig asig", "before a_before")
+    b = alone.selectExpr("token", "unit b", "comp bc", "sig bsig", "comp = major bm", "before b_before")
+    met = a.join(b, "token").filter(f"ac <> bc AND (bm OR a < b) AND (a_before <> b_before OR a_before = -1) AND {may_link}")
+    rest = stage(counted(met.select("a", "b")).join(rays, ["a", "b"], "left_anti"), "met")
+    second = verify(rest)
+    links = second.select("a", "b") if third is None else second.select("a", "b").union(third)
+    out = components(links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    drop_staged(*spent, comps, rest, second)
+    return out

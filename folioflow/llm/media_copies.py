@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stage
-from .components import linked_by_buckets
+from .components import linked_by_lists
 
 SCALES = (1.0, 0.75)
 CORNERS = 40
@@ -197,7 +197,7 @@ def media_classes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     def keys(words: pd.Series) -> pd.Series:
         return words.map(lambda w: bands(np.frombuffer(w, np.uint64).reshape(-1, TESTS // 64)))
 
-    buckets = images.select("unit", F.explode(keys("words")).alias("token")).select("token", "unit", F.lit(True).alias("lead"), F.lit(0).cast("long").alias("sig"))
+    buckets = images.select("unit", F.explode(keys("words")).alias("token")).select("token", "unit", F.lit(0).cast("long").alias("sig"), F.lit(1).cast("long").alias("weight"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: images.selectExpr(f"unit {x}", f"points p{x}", f"words w{x}")
@@ -211,7 +211,7 @@ def media_classes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return stage(both.filter(same("pa", "wa", "pb", "wb")).select("a", "b"), "linked")
 
-    comps = linked_by_buckets(buckets, verify, MIN_SHARED)
+    comps = linked_by_lists(buckets, verify, shared=MIN_SHARED)
     least = made.groupBy("unit").agg(F.min("id").alias("least")).join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
     roots = least.groupBy("comp").agg(F.min("least").alias("class_id"))
     named = made.join(least.join(roots, "comp").select("unit", "class_id"), "unit")
