@@ -73,6 +73,11 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_classes(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    A row goes if an equal text has a smaller id, or an id where its own is null; rows of one id and other texts are
+    not touched, and repeated rows of the id that stays all stay.
+    """
+    gone = exact_classes(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_sha")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.unhex(F.sha2(normalised(docs[text_col]), 256)) == gone["_sha"])
+    return docs.join(gone, same, "left_anti")

@@ -470,6 +470,26 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, hot_values: np.ndarray, id_c
     return out
 
 
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, t (xxhash64 of the text, null as empty), n_shingles and first (absent, doc_id, t) of every row.
+
+    ``first`` names the row that stands for the component: the smallest id there, its smallest t; null without words.
+    """
+    bounded_batches(docs.sparkSession)
+    found = first_pass(docs, id_col, text_col)
+    digests = found.filter("n_shingles IS NOT NULL").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "t", "n_shingles", "node", "check")
+    twins = twins_of(digests.filter("node IS NOT NULL"), "node", "check")
+    if twins:
+        digests = digests.withColumn("node", F.when(F.col("node").isin(*twins), F.col("check")).otherwise(F.col("node")))
+    row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "t")
+    nodes = stage(digests.filter("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("rep")), "nodes")
+    comps = linked_nodes(docs.select(id_col, text_col), nodes, hot_shingles(found), id_col, text_col, twins)
+    named = nodes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    roots = named.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("rep").alias("root"))
+    of_node = named.join(roots, "comp", "left").select("node", F.coalesce("root", "rep").alias("first"))
+    return digests.join(of_node, "node", "left").select("doc_id", "t", "n_shingles", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (smallest id reachable by links, itself included) for every row.
 
@@ -477,18 +497,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id link like others and bridge; they take the component's smallest id (null if all its ids are).
     Other columns are not read. An empty table gives an empty result. Ids may be of any orderable type.
     """
-    bounded_batches(docs.sparkSession)
-    first = first_pass(docs, id_col, text_col)
-    digests = first.filter("n_shingles IS NOT NULL").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "t", "n_shingles", "node", "check")
-    twins = twins_of(digests.filter("node IS NOT NULL"), "node", "check")
-    if twins:
-        digests = digests.withColumn("node", F.when(F.col("node").isin(*twins), F.col("check")).otherwise(F.col("node")))
-    nodes = stage(digests.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "t")).alias("rep")), "nodes")
-    comps = linked_nodes(docs.select(id_col, text_col), nodes, hot_shingles(first), id_col, text_col, twins)
-    found = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    linked = found.filter("node <> comp").select("comp").distinct()
-    roots = found.join(linked, "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("root"))
-    of_node = found.join(roots, "comp", "left").select("node", F.coalesce("root", "least").alias("root"))
-    return digests.join(of_node, "node", "left").select(
-        F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id")
-    )
+    rows = near_duplicate_rows(docs, id_col, text_col)
+    return rows.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the smallest id's, nulls last; texts without words all stay.
+
+    Rows go by id and text together, so another text under the same id is judged on its own. Of repeated rows one stays.
+    """
+    rows = stage(near_duplicate_rows(docs, id_col, text_col), "near-rows")
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")))
+    gone = rows.filter(~stays).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    again = rows.filter(F.col("first").isNotNull() & stays).groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").drop("_k")
+    on = lambda df: docs[id_col].eqNullSafe(df["_id"]) & (F.xxhash64(text_or_empty(docs[text_col])) == df["_t"])
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    again = stage(again, "repeated")
+    if again.isEmpty():
+        return docs.join(small(gone), on(gone), "left_anti")
+    one = docs.join(small(again), on(again), "left_semi").dropDuplicates([id_col, text_col])
+    other = stage(gone.union(again), "not-plain")
+    return docs.join(small(other), on(other), "left_anti").unionByName(one)

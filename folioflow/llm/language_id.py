@@ -20,6 +20,8 @@ from .common import bounded_batches, crc32_of_id, text_or_empty
 DIMENSIONS = 1024
 #: Texts of training rows per language are taken by hash up to about this many (a bound on fitting only).
 TRAIN_ROWS = 20_000
+#: Labels learnt at most; a column with more distinct values than languages there are holds something else.
+MOST_LABELS = 1024
 FIT_TASKS = 12
 UNKNOWN = "und"
 BLOCK_KEYS = 400_000
@@ -92,18 +94,19 @@ def profiles(dimensions: int) -> Profiles:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_per_label: int = TRAIN_ROWS, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Labels in order and their prototypes, learnt from text and non-null label.
 
-    Of a label with more rows, those whose id hashes below a threshold are taken, ``rows_per_label`` expected.
-    The driver gets FIT_TASKS rows a label at most.
+    Of a label with more rows, those whose id and text hash below a threshold are taken, ``rows_per_label`` expected.
+    The MOST_LABELS most frequent labels are learnt. The driver gets FIT_TASKS rows a label at most. Of an empty table,
+    or one without labels, nothing is learnt.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).alias("l")).count().collect()}
+    counts = rows.groupBy(F.col(label_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LABELS)
+    totals = {r[0]: r[1] for r in counts.collect()}
     if not totals:
         return [], np.zeros((0, dimensions), np.float32)
-    take = F.lit(False)
-    for label, n in totals.items():
-        share = min(1.0, rows_per_label / n)
-        take = take | ((F.col(label_col) == label) & (F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < int(share * 1_000_003) + 1))
+    spark = labelled.sparkSession
+    shares = spark.createDataFrame([(label, int(min(1.0, rows_per_label / n) * 1_000_003)) for label, n in totals.items()], "_label string, _share int")
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_003)).alias("_place"))
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, sums = profiles(dimensions), {}
@@ -113,11 +116,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
                 weighed = vectors / np.sqrt(np.maximum(sizes, 1))[:, None]
                 for label in set(labels[at : at + len(sizes)]):
                     sums[label] = sums.get(label, 0) + weighed[labels[at : at + len(sizes)] == label].sum(0, dtype=np.float64)
-        yield pd.DataFrame({"label": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"label": list(sums), "v": [v.tolist() for v in sums.values()]})
 
-    sample = rows.filter(take).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    sample = rows.join(F.broadcast(shares), (F.col("label") == F.col("_label")) & (F.col("_place") <= F.col("_share"))).select("label", "text")
     parts = sample.coalesce(FIT_TASKS).mapInPandas(bundle, "label string, v array<double>").collect()
-    labels = sorted(totals)
+    labels = sorted(map(str, totals))
     prototypes = np.zeros((len(labels), dimensions))
     for r in sorted(parts, key=lambda r: (r["label"], r["v"])):
         prototypes[labels.index(r["label"])] += r["v"]
@@ -165,7 +169,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """``id_col``, held_out, lang_pred, score for every row; learns from the rows that are not held out.
 
     Null ids count as the empty text in the split. Repeated rows give one row each. An empty table gives an
-    empty result; a table without labels gives ``und`` throughout.
+    empty result; a table without labels gives ``und`` throughout. Of languages of equal score the first in order is
+    taken.
     """
     labels, prototypes = fit(docs.filter(~held_out(id_col)), text_col, label_col, id_col)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))

@@ -102,19 +102,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         ids = _IDS.get(tokenizer_path) or _IDS.setdefault(tokenizer_path, TextIds(tokenizer_path))
         for batch in batches:
             out = []
-            for doc, missing, text in zip(batch["doc_id"], batch["null_id"], batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 data = ids.document(text) + end
                 for k, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
-                    out.append((None if missing else int(doc), k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": object})
 
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"),
-        F.col(id_col).isNull().alias("null_id"),
+        F.col(id_col).cast("string").alias("doc_id"),
         text_or_empty(text_col).alias("text"),
     )
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = rows.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -195,10 +195,11 @@ def placer(names: list[str], r: int, last: bool, capacity: int):
 def pack(rows: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id, offset, lower_bound and bins (both of the group that placed the row) to pieces.
 
+    ``rows`` is a staged table: its rows are dealt to groups by their place in it, so equal rows spread like others.
     Lengths are 1 to ``capacity``. Rows with equal columns are separate pieces and get places of their own.
     No piece is dropped; after the last round every row has a place. An empty table gives an empty result.
     """
-    kept = f"{rows.schema.simpleString()[7:-1]}".replace(":", " ").replace(",", ", ")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     names = rows.columns
     placed_type = f"{kept}, sequence_id long, offset long, lower_bound long, bins long, placed boolean"
     todo, done = rows, None
@@ -207,7 +208,7 @@ def pack(rows: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES
         groups = max(1, -(-n // group_pieces))
         last = r == rounds - 1 or groups == 1
 
-        dealt = todo.withColumn("_g", F.pmod(F.xxhash64(F.lit(r), *[F.col(c) for c in names]), F.lit(groups)).cast("int"))
+        dealt = todo.withColumn("_g", F.pmod(F.xxhash64(F.lit(r), F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
         packed = stage(dealt.groupBy("_g").applyInPandas(placer(names, r, last, capacity), placed_type), f"packing-{r}")
         here = packed.filter("placed").drop("placed")
         done = here if done is None else done.unionByName(here)

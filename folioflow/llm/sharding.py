@@ -9,6 +9,7 @@ broadcast table bounded by the number of blocks. Only affected shards are writte
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,7 +123,7 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[int],
 
     ``old_shard``: an int from 0 to ``old`` - 1 for every row. Null texts have size 1 and the crc32 of nothing.
     Slots run from 0 without a gap in each shard; equal rows get slots of their own; an empty table gives an
-    empty result. A document larger than a shard's share stays whole. Null ids share one block per old shard.
+    empty result. A document larger than a shard's share stays whole. Null ids are dealt by their texts.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
@@ -132,7 +133,7 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[int],
             (F.octet_length(text) + 1).cast("long").alias("_size"),
             F.crc32(text.cast("binary")).alias("_crc"),
             old_shard.cast("int").alias("_old"),
-            F.pmod(F.xxhash64(id_col), F.lit(max(1, blocks // old))).cast("int").alias("_block"),
+            F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text), F.crc32(text.cast("binary"))), F.lit(max(1, blocks // old))).cast("int").alias("_block"),
         ),
         "shard-rows",
     )
@@ -161,18 +162,33 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[int],
     )
 
 
-def rewrite(spark: SparkSession, docs: DataFrame, plan: DataFrame, out_dir: str, id_col: str = "doc_id") -> list[int]:
+def rewrite(spark: SparkSession, docs: DataFrame, plan: DataFrame, out_dir: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Writes the shards that gain or lose a document under ``out_dir``/shard=<n>; returns their numbers.
 
-    Unaffected shards keep their files. Ids must be unique for the rewrite (it joins plan and documents).
+    Unaffected shards keep their files; a shard that ends empty loses its folder. ``docs`` may be read from
+    ``out_dir``: new files are complete beside it before old ones go. Rows of ``docs`` and ``plan`` are matched by id,
+    size and crc32 of the text, equal ones one to one in any order, so null and repeated ids are written once each. A
+    column of ``docs`` named shard is left out, as the folder takes its place. Without a change nothing is written.
     """
     changed = plan.filter("shard <> old_shard")
-    touched = sorted(
-        {r[0] for r in changed.select("shard").distinct().collect()} | {r[0] for r in changed.select("old_shard").distinct().collect()}
-    )
-    if touched:
-        part = plan.filter(F.col("shard").isin(touched)).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"))
-        moved = docs.join(part, docs[id_col].eqNullSafe(part["_id"])).drop("_id").withColumnRenamed("_shard", "shard")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        moved.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(64))).write.mode("overwrite").partitionBy("shard").parquet(out_dir)
+    ends = changed.select("shard").union(changed.select("old_shard")).distinct()
+    touched = sorted(r[0] for r in ends.collect())
+    if not touched:
+        return touched
+    part = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"))
+    part = part.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy("_shard"))).filter(F.col("_shard").isin(touched))
+    text = text_or_empty(text_col)
+    rows = docs.drop("shard").withColumns({"_s": (F.octet_length(text) + 1).cast("long"), "_c": F.crc32(text.cast("binary"))})
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_s", "_c").orderBy(F.lit(1))))
+    same = rows[id_col].eqNullSafe(part["_id"]) & (F.col("_s") == F.col("_size")) & (F.col("_c") == F.col("_crc")) & (F.col("_n") == F.col("_k"))
+    moved = rows.join(part, same).drop("_s", "_c", "_n", "_id", "_size", "_crc", "_k").withColumnRenamed("_shard", "shard")
+    fresh = f"{out_dir.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    moved.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(64))).write.partitionBy("shard").parquet(fresh)
+    path = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path(fresh).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n in touched:
+        fs.delete(path(f"{out_dir.rstrip('/')}/shard={n}"), True)
+        if fs.exists(path(f"{fresh}/shard={n}")):
+            fs.rename(path(f"{fresh}/shard={n}"), path(f"{out_dir.rstrip('/')}/shard={n}"))
+    fs.delete(path(fresh), True)
     return touched
