@@ -16,6 +16,8 @@ ARROW_BATCH_BYTES = 16 << 20
 ARROW_BATCH_ROWS = 2000
 #: Rows of keys (of a few numbers each) that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of texts that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import drop_staged, stage
 
 JUMPS = 2
-LEAST_BLOCK, BLOCK_UNITS = 32, 64
+LEAST_BLOCK, BLOCK_UNITS = 256, 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -71,26 +71,22 @@ def linked_by_lists(lists: DataFrame, verify, may_link: str = "true", size: str
         pairs = pairs.selectExpr("least(a, b) a", "greatest(a, b) b")
         return pairs.distinct() if shared == 1 else pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= shared).select("a", "b")
 
-    def tagged(rows: DataFrame, comps: DataFrame) -> DataFrame:
-        held = rows.join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
-        mixed = held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-        return held.join(mixed, "token", "left_semi")
-
     # Half-open classes of sizes share out long lists.
     sized = Window.partitionBy("token", F.floor(F.log2(F.expr(size) + F.lit(1)))).orderBy(F.expr(size), "sig", "unit")
-    beside = lists.select(F.col("unit").alias("a"), F.col("sig").alias("asig"), F.lag("unit").over(sized).alias("b"), F.lag("sig").over(sized).alias("bsig"))
-    top = lists.groupBy("token").agg(F.max(F.struct("weight", "unit", "sig")).alias("top"))
-    above = lists.join(top, "token").select(F.col("unit").alias("a"), F.col("sig").alias("asig"), F.col("top.unit").alias("b"), F.col("top.sig").alias("bsig"))
+    by_token = lists.repartition("token")  # one exchange for windows, aggregates and joins by token
+    beside = by_token.select(F.col("unit").alias("a"), F.col("sig").alias("asig"), F.lag("unit").over(sized).alias("b"), F.lag("sig").over(sized).alias("bsig"))
+    top = by_token.groupBy("token").agg(F.max(F.struct("weight", "unit", "sig")).alias("top"))
+    above = by_token.join(top.hint("merge"), "token").select(F.col("unit").alias("a"), F.col("sig").alias("asig"), F.col("top.unit").alias("b"), F.col("top.sig").alias("bsig"))
     rays = stage(counted(beside.union(above).filter("a <> b").filter(may_link)), "rays")
     first = verify(rays)
     comps = components(first)
     # Two units of equal tokens ahead of this one have met there, so they meet only where these differ.
     order = Window.partitionBy("unit").orderBy("token")
-    listing = lists.withColumn("before", F.coalesce(F.lag("token").over(order), F.lit(-1)) if shared == 1 else F.lit(-1))
-    held = stage(tagged(listing, comps), "held")
-    major = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    marked = stage(held.join(major, "token"), "marked")
-    drop_staged(held)
+    listing = lists.drop("weight").withColumn("before", F.coalesce(F.lag("token").over(order), F.lit(-1)) if shared == 1 else F.lit(-1))
+    held = listing.join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit")).repartition("token")
+    major = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+    major = major.agg(F.max(F.struct("k", "comp")).getField("comp").alias("major"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several")
+    marked = stage(held.join(major.hint("merge"), "token"), "marked")
     spent, third = [rays, first, marked], None
     alone = marked
     if verify_blocks is not None:
@@ -106,6 +102,7 @@ def linked_by_lists(lists: DataFrame, verify, may_link: str = "true", size: str
         pairs = stage(pairs.select(F.col("a_block").alias("a"), F.col("b_block").alias("b")).distinct(), "block-pairs")
         third = verify_blocks(pairs, members)
         spent += [pairs, third]
+    alone = alone.repartition("token")
     a = alone.filter("comp <> major").selectExpr("token", "unit a", "comp ac", "sig asig", "before a_before")
     b = alone.selectExpr("token", "unit b", "comp bc", "sig bsig", "comp = major bm", "before b_before")
     met = a.join(b, "token").filter(f"ac <> bc AND (bm OR a < b) AND (a_before <> b_before OR a_before = -1) AND {may_link}")

@@ -35,7 +35,9 @@ WORDS = 5
 #: Links: PER * intersection >= NEED * union.
 NEED, PER = 75, 100
 HOT_IN_TASK, HOT_IN_ALL, HOT_SHINGLES = 4, 64, 500_000
-CHUNK_SHINGLES = 4_000_000
+CHUNK_SHINGLES = 2_000_000
+#: Texts whose prefixes are put into one frame.
+FRAME_TEXTS = 400
 #: Rounds of stars, and the share of tried pairs that must link for one more. They only decide when pairs are verified.
 ROUNDS, LEAST_GAIN = 6, 0.05
 #: 64-bit words of parities that rows of the join of lists carry at most.
@@ -171,7 +173,7 @@ def rows_of(names: list[str], other: str):
     """Brings a frame to the columns ``names``: nullable longs, but ``other``."""
 
     def whole(df: pd.DataFrame) -> pd.DataFrame:
-        absent = pd.array([pd.NA] * len(df), dtype="Int64")
+        absent = pd.arrays.IntegerArray(np.zeros(len(df), np.int64), np.ones(len(df), bool))
         cols = {c: (df[c].astype(object) if c in df else pd.Series([None] * len(df), dtype=object)) if c == other else (df[c].astype("Int64") if c in df else absent) for c in names}
         return pd.DataFrame(cols)
 
@@ -238,9 +240,9 @@ def group_index(docs: DataFrame, text_col: str, hot, node_twins: frozenset, grou
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, groups = set(), set()
-        for batch in batches:
+        for part in (batch["_text"].iloc[at : at + FRAME_TEXTS].tolist() for batch in batches for at in range(0, len(batch), FRAME_TEXTS)):
             tokens, head = [], []
-            for found in batch_shingles(batch["_text"].tolist()):
+            for found in batch_shingles(part):
                 if not len(found) or (node := named(keys_of(found), node_twins)) in seen:
                     continue
                 seen.add(node)
