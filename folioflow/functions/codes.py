@@ -17,7 +17,7 @@ def xml_of(parts: str) -> Column:
 
     def one(p: Column) -> Column:
         attributes = F.array_join(F.transform(p.attributes, lambda a: F.concat(F.lit(" "), a.k, F.lit('="'), xml_escape(a.v), F.lit('"'))), "")
-        tag = F.when(p.kind == "start", F.concat(F.lit("<"), p.name, attributes, F.lit(">"))).when(p.kind == "end", F.concat(F.lit("</"), p.name, F.lit(">"))).otherwise(F.concat(F.lit("<"), p.name, attributes, F.lit("/>")))
+        tag = F.when(p.kind == "start", F.concat(F.lit("<"), p["name"], attributes, F.lit(">"))).when(p.kind == "end", F.concat(F.lit("</"), p["name"], F.lit(">"))).otherwise(F.concat(F.lit("<"), p["name"], attributes, F.lit("/>")))
         return F.when(p.ptype == "text", xml_escape(p.text)).when(p.ptype == "markup", tag).otherwise(p.data)
 
     return F.array_join(F.transform(parts, one), "")

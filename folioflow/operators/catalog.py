@@ -30,21 +30,31 @@ def catalog(spark: SparkSession) -> DataFrame:
 def resolve(requests: DataFrame) -> DataFrame:
     """filter_id of each (doc_id, path, format, filter_id, head): given id, then format, then content, then extension.
 
+    The catalogue is literal maps, so requests are neither joined nor shuffled.
+
     head: the start of the document, for the name space that tells XLIFF 1.2 and 2.0 apart. Ties go to the
     higher priority, then to the earlier entry; null if nothing fits.
     """
-    names = F.broadcast(catalog(requests.sparkSession).select(F.col("filter_id").alias("c_id"), F.col("format").alias("c_format"), F.explode("extensions").alias("c_ext"), "priority", "position"))
+    by_rank = sorted(enumerate(FILTERS), key=lambda f: (-f[1][4], f[0]))
+    first: dict[str, dict[str, str]] = {"id": {}, "format": {}, "ext": {}, "sniffed": {}}
+    for _, (filter_id, fmt, extensions, _, _) in by_rank:
+        first["id"].setdefault(filter_id, filter_id)
+        first["format"].setdefault(fmt, filter_id)
+        for x in extensions:
+            first["ext"].setdefault(x, filter_id)
+            first["sniffed"].setdefault(f"{x} {fmt}", filter_id)
+    of = lambda kind, key: F.element_at(F.create_map(*[F.lit(x) for kv in first[kind].items() for x in kv]), key)
     space = F.regexp_extract(F.substring(F.coalesce("head", F.lit("")), 1, SNIFF_CHARS), r"xmlns\s*=\s*[\"']([^\"']+)", 1)
     sniffed = F.when(space == "urn:oasis:names:tc:xliff:document:2.0", "xliff2").when(space == "urn:oasis:names:tc:xliff:document:1.2", "xliff")
-    asked = requests.withColumn("ext", F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"\.([^./]+)$", 1))).withColumn("sniffed", sniffed)
-    rank = F.when(F.col("c_id") == F.col("filter_id"), 0).when(F.col("c_format") == F.col("format"), 1).when((F.col("c_ext") == F.col("ext")) & (F.col("c_format") == F.col("sniffed")), 2).when(F.col("c_ext") == F.col("ext"), 3)
-    met = asked.join(names, (F.col("c_id") == F.col("filter_id")) | (F.col("c_format") == F.col("format")) | (F.col("c_ext") == F.col("ext")), "left")
-    best = Window.partitionBy("doc_id").orderBy(F.coalesce(rank, F.lit(9)), F.desc("priority"), "position")
-    return met.withColumn("n", F.row_number().over(best)).filter("n = 1").select("doc_id", F.when(rank.isNotNull(), F.col("c_id")).alias("resolved_filter"))
+    ext = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"\.([^./]+)$", 1))
+    found = F.coalesce(of("id", F.col("filter_id")), of("format", F.col("format")), of("sniffed", F.concat_ws(" ", ext, sniffed)), of("ext", ext))
+    return requests.select("doc_id", found.alias("resolved_filter"))
 
 
 #: The states after which a new job may begin.
-TERMINAL = ["COMPLETED", "FAILED", "CANCELLED", "TIMED_OUT", "REJECTED"]
+TERMINAL = ["completed", "canceled", "failed", "timeout", "executor_crashed"]
+#: All states of a job, in their order.
+STATES = ["created", "resolving", "probing", "opening", "extracting", "extracted", "translating", "applying", "reconstructing", "validating", *TERMINAL]
 
 
 def jobs_latest(states: DataFrame, keys: list[str], state: str, at: str) -> DataFrame:
@@ -52,6 +62,16 @@ def jobs_latest(states: DataFrame, keys: list[str], state: str, at: str) -> Data
     return states.groupBy(*keys).agg(F.max_by(state, at).alias("state")).withColumn("is_terminal", F.col("state").isin(TERMINAL))
 
 
+def jobs(log: DataFrame, keys: list[str], state: str, at: str) -> DataFrame:
+    """Jobs of each document and operation from a log of requests (state created) and states: keys, job, since, state, is_terminal.
+
+    There is one active job at a time: a request while one runs is that job, after a terminal state it is a new one.
+    """
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.sum(F.col(state).isin(TERMINAL).cast("int")).over(before), F.lit(0))
+    return log.withColumn("job", ended).groupBy(*keys, "job").agg(F.min(at).alias("since"), F.max_by(state, at).alias("state")).withColumn("is_terminal", F.col("state").isin(TERMINAL))
+
+
 def compare_streams(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Positions where two streams differ; what only one side has counts too."""
     l, r = left.select(*keys, F.col(value).alias("left_value"), F.lit(True).alias("_l")), right.select(*keys, F.col(value).alias("right_value"), F.lit(True).alias("_r"))
@@ -89,3 +109,27 @@ def decode_ipc(lines: DataFrame, column: str = "value") -> DataFrame:
     """Envelopes of JSON lines and whether each is valid: version 1 with a type and an id."""
     env = F.from_json(column, "version int, type string, id string, payload string")
     return lines.select(env.alias("m")).select("m.*", ((F.col("m.version") == 1) & F.col("m.type").isNotNull() & F.col("m.id").isNotNull()).alias("is_valid"))
+
+
+def encode_ipc(kind, message_id, payload=None):
+    """The JSON line of an envelope; a payload that is null is left out."""
+    return F.to_json(F.struct(F.lit(1).alias("version"), kind.alias("type"), message_id.alias("id"), *([payload.alias("payload")] if payload is not None else [])))
+
+
+def resolve_looks(styles: DataFrame) -> DataFrame:
+    """style_id, look: the properties (map run) of each style laid over those that it is based on, its own last."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    styles.createOrReplaceTempView("_looks")
+    way = styles.sparkSession.sql(
+        """
+        WITH RECURSIVE up AS (
+          SELECT style_id, type, based_on, run, 0 AS depth, array(style_id) AS seen FROM _looks
+          UNION ALL
+          SELECT u.style_id, s.type, s.based_on, s.run, u.depth + 1, array_append(u.seen, s.style_id)
+          FROM up u JOIN _looks s ON u.based_on = s.style_id AND u.type = s.type
+          WHERE IF(array_contains(u.seen, s.style_id), CAST(raise_error('style cycle') AS BOOLEAN), true))
+        SELECT style_id, array_sort(collect_list(struct(-depth AS place, to_json(run) AS run))) AS way FROM up GROUP BY style_id
+        """
+    )
+    laid = F.aggregate("way", empty, lambda m, s: F.map_zip_with(m, F.from_json(s.run, "map<string,string>"), lambda k, a, b: F.coalesce(b, a)))
+    return way.select("style_id", laid.alias("look"))

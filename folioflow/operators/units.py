@@ -31,16 +31,6 @@ def find_codes(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col), F.posexplode(found).alias("code_index", "code"))
 
 
-def drop_hidden(parts: str, kinds: list[str]) -> Column:
-    return F.filter(parts, lambda p: ~((p.ptype == "code") & p.kind.isin(kinds)))
-
-
-def masked(parts: str, when: Column) -> Column:
-    """Text parts as protected codes where ``when`` holds (excluded styles, colours, highlights)."""
-    hide = lambda p: p.withField("ptype", F.lit("code")).withField("data", p.text).withField("kind", F.lit("excluded_style")).withField("text", F.lit(None).cast("string"))
-    return F.transform(parts, lambda p: F.when(when & (p.ptype == "text"), hide(p)).otherwise(p))
-
-
 def balanced(events: DataFrame) -> DataFrame:
     """Documents whose START_ and END_ events close in order: running depth never negative and 0 at the end."""
     from pyspark.sql.window import Window

@@ -48,8 +48,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Documents over all cores before a parser: small files would leave one task with all of them."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Documents over all cores before a parser, if their files give fewer splits than there are cores; else as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 # Plain text: no parser needed, the unit is the text.
@@ -121,7 +122,7 @@ def json_id_names(spark, sf_dir):
     return json_rows(parse(json_docs(spark, sf_dir), "json", idRules="role", useIdStack=True))
 
 
-@query("SELECT conv_id || '-' || turn AS doc_id, text AS unit_text, '[\"' || role || '\"]' AS notes FROM conversations")
+@query("""SELECT conv_id || '-' || turn AS doc_id, text AS unit_text, '[{"from": "role", "text": "' || role || '"}]' AS notes FROM conversations""")
 def json_notes(spark, sf_dir):
     found = ops.units(parse(json_docs(spark, sf_dir), "json", noteRules="role"))
     return found.select("doc_id", ops.text_of().alias("unit_text"), F.col("metadata")["notes"].alias("notes"))
@@ -136,7 +137,7 @@ def json_props_no_strings(spark, sf_dir):
 
 @query(
     r"""SELECT conv_id || '-' || turn AS doc_id,
-    '{"role":"' || role || '","text":"[' || replace(text, chr(10), '\n') || ']"}' AS output FROM conversations"""
+    '{"role":"' || role || '","text":"[' || replace(replace(text, chr(10), '\n'), '/', '\/') || ']"}' AS output FROM conversations"""
 )
 def json_patch(spark, sf_dir):
     docs = json_docs(spark, sf_dir)
@@ -197,11 +198,13 @@ def html_events(spark, sf_dir):
     return parse(spread(read(spark, sf_dir, "pages")), "html", "page_id", "html")
 
 
-@query()
+@query("SELECT conv_id || '-' || turn AS doc_id, 3::BIGINT AS units, 2::BIGINT AS inline_tags, (2 * length(text) + length(role) + 4)::BIGINT AS characters FROM conversations")
 def html_units_per_page(spark, sf_dir):
-    found = ops.units(html_events(spark, sf_dir))
-    inline = F.size(F.filter("parts", lambda p: (p.ptype == "markup") & (p.kind == "start")))
-    return found.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("units"), F.sum(inline).alias("inline_tags"), F.sum(F.length(ops.text_of())).alias("characters"))
+    t = turns(spark, sf_dir)
+    body = F.concat(F.lit("<html><body><h1>"), "role", F.lit("</h1><p>"), escaped("text"), F.lit("<b>bold</b></p><!-- c --><script>x()</script><div><ul><li><i>"), escaped("text"), F.lit("</i></li></ul></div><p> </p></body></html>"))
+    found = ops.units(parse(spread(t.select("doc_id", body.alias("html"))), "html", source_col="html"))
+    inline = F.size(F.filter("parts", lambda p: (p.ptype == "markup") & (p.kind == "start") & p["name"].isin("b", "i")))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum(inline).cast("long").alias("inline_tags"), F.sum(F.length(ops.text_of())).alias("characters"))
 
 
 @query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) <> ''")
@@ -227,9 +230,16 @@ def md_round_trip(spark, sf_dir):
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "output")
 
 
-@query()
+MD_SQL = r"""WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'line': x, 'i': i})) AS u FROM documents WHERE text <> ''),
+    b AS (SELECT doc_id, u.i AS i, u.line AS line, regexp_extract(u.line, '^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+|>\s?)?') AS lead FROM l),
+    k AS (SELECT doc_id, i, substr(line, length(lead) + 1) AS body FROM b WHERE trim(substr(line, length(lead) + 1)) <> '')
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::VARCHAR AS unit_id, body AS unit_text,
+    len(regexp_extract_all(body, '\*\*[^*\n]+\*\*|\*[^*\n]+\*|`[^`\n]+`|!\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\([^)]*\)'))::INT AS codes FROM k"""
+
+
+@query(MD_SQL)
 def md_units(spark, sf_dir):
-    found = ops.units(parse(read(spark, sf_dir, "documents"), "markdown", source_col="text"))
+    found = ops.units(parse(spread(read(spark, sf_dir, "documents")), "markdown", source_col="text"))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "unit_id", ops.text_of(codes=True).alias("unit_text"), F.size(ops.code_kinds()).alias("codes"))
 
 
@@ -270,7 +280,7 @@ def word_file(role: pd.Series, body: pd.Series) -> pd.Series:
 @query(
     """SELECT conv_id || '-' || turn AS doc_id, 'body' AS part, '0' AS paragraph, role AS unit_text FROM conversations
     UNION ALL SELECT conv_id || '-' || turn, 'body', '1', text FROM conversations
-    UNION ALL SELECT conv_id || '-' || turn, 'footnote', '0', 'note' FROM conversations"""
+    UNION ALL SELECT conv_id || '-' || turn, 'footnote', '1', 'note' FROM conversations"""
 )
 def docx_units(spark, sf_dir):
     files = spread(turns(spark, sf_dir)).select("doc_id", word_file("role", "text").alias("source_bytes"))
@@ -314,17 +324,6 @@ def diff_streams(spark, sf_dir):
     return catalog.compare_streams(c.filter("turn % 5 <> 4"), right, ["conv_id", "turn"], "text")
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS state, arg_max(event_type, event_id) IN ('COMPLETED', 'FAILED') AS is_terminal FROM events GROUP BY user_id")
-def job_latest(spark, sf_dir):
-    return catalog.jobs_latest(read(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
-
-
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
-def job_dedupe(spark, sf_dir):
-    """The first job of each (document, operation): a map-side aggregate, no window over a hot key."""
-    return read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-
-
 @query("SELECT n_nationkey::VARCHAR AS style_id, (n_nationkey % 5)::VARCHAR AS root_id, (n_nationkey // 5)::INT AS depth FROM nation")
 def style_resolve(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
@@ -348,3 +347,6 @@ def ipc_decode(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     line = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, 2).otherwise(1).alias("version"), F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("id"), F.col("props").alias("payload")))
     return catalog.decode_ipc(e.select(line.alias("value")))
+
+
+from . import analysis, writing  # noqa: E402, F401  - they register their queries here

@@ -91,9 +91,24 @@ class _Html(HTMLParser):
         end = self.here() + len(name) + 2
         self.add(text(self.source[self.here() : end + (self.source[end : end + 1] == ";")]))
 
-    def handle_comment(self, data):
+    def keep(self, name: str, closing: str) -> None:
+        """Comments, instructions and declarations stay inside a run as they are written."""
         if self.run:
-            self.add(markup("empty", "!--", data=f"<!--{data}-->"))
+            end = self.source.find(closing, self.here())
+            self.add(markup("empty", name, data=self.source[self.here() : end + len(closing) if end >= 0 else len(self.source)]))
+
+    def handle_comment(self, data):
+        start = self.here()
+        self.keep("!--", "-->" if self.source.startswith("<!--", start) and self.source.startswith(data, start + 4) else ">")
+
+    def handle_pi(self, data):
+        self.keep("?", ">")
+
+    def unknown_decl(self, data):
+        self.keep("![", "]]>" if data.startswith("CDATA[") else ">")
+
+    def handle_decl(self, decl):
+        self.keep("!", ">")
 
 
 def parse_html(source: str, **_) -> Iterator[dict]:
@@ -105,53 +120,50 @@ def parse_html(source: str, **_) -> Iterator[dict]:
     yield from p.found
 
 
-_JSON_TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([{}\[\],:])|(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null))', re.S)
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:(?P<string>"(?:[^"\\]|\\.)*")|(?P<mark>[{}\[\],:])|(?P<scalar>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)|(?P<end>$))', re.S)
+# What may come next in a container after what was there: a value ends a turn, a comma begins one.
+_JSON_NEXT = {
+    ("{", "open"): {"string", "}"}, ("{", "key"): {":"}, ("{", ":"): {"value"}, ("{", "value"): {",", "}"}, ("{", ","): {"string"},
+    ("[", "open"): {"value", "]"}, ("[", "value"): {",", "]"}, ("[", ","): {"value"}, (None, "open"): {"value"}, (None, "value"): {"end"},
+}
 
 
-def json_strings(source: str) -> Iterator[dict]:
-    """Every string value: value, key, path, start, end (of the literal) and the chain of its objects."""
-    stack: list[dict] = []
-    at, done, objects = 0, False, 0
-    while source[at:].strip() if len(source) - at < 64 else True:
-        m = _JSON_TOKEN.match(source, at)
-        if not m or done:
+def json_values(source: str) -> Iterator[dict]:
+    """Every string, number, boolean and null that is a value: text, whether it is a string, key, path, start, end (of the
+    literal) and the numbers of its objects, outermost first. Anything that is no JSON raises an error."""
+    boxes: list[dict] = [{"kind": None, "was": "open", "key": None, "count": -1, "step": None, "id": 0}]
+    at = objects = 0
+    while True:
+        m, box = _JSON_TOKEN.match(source, at), boxes[-1]
+        if not m:
             raise ValueError(f"JSON: unexpected text at {at}")
-        at = m.end()
-        string, mark, other = m.groups()
-        top = stack[-1] if stack else None
-        if mark in ("{", "["):
-            objects += 1
-            stack.append({"kind": mark, "key": None, "index": -1, "own": top and top["key"], "want": "key" if mark == "{" else "value", "id": objects})
-            if top and top["kind"] == "[":
-                top["index"] += 1
-                stack[-1]["own"] = str(top["index"])
-            continue
-        if mark in ("}", "]"):
-            if not top or {"}": "{", "]": "["}[mark] != top["kind"]:
-                raise ValueError(f"JSON: unbalanced {mark} at {at}")
-            stack.pop()
-            done = not stack
-            continue
-        if mark == ":":
-            top["want"] = "value"
-            continue
-        if mark == ",":
-            top["want"] = "key" if top["kind"] == "{" else "value"
-            continue
-        if string and top and top["kind"] == "{" and top["want"] == "key":
-            top["key"] = json.loads(string, strict=False)
-            continue
-        if top and top["kind"] == "[":
-            top["index"] += 1
-        done = not stack
-        if string:
-            steps = [s["own"] for s in stack[1:]] + ([top["key"] if top["kind"] == "{" else str(top["index"])] if top else [])
+        at, allowed = m.end(), _JSON_NEXT[box["kind"], box["was"]]
+        token = m["mark"] or ("string" if m["string"] else "scalar" if m["scalar"] else "end")
+        is_key = token == "string" and "string" in allowed
+        is_value = token in ("string", "scalar", "{", "[") and not is_key
+        if not (is_key or token in allowed or (is_value and "value" in allowed)):
+            raise ValueError(f"JSON: unexpected {token} at {m.start()}")
+        if token == "end":
+            return
+        if is_key:
+            box["key"], box["was"] = json.loads(m["string"], strict=False), "key"
+        elif is_value:
+            box["count"], box["was"] = box["count"] + 1, "value"
+            step = box["key"] if box["kind"] == "{" else str(box["count"])
+            if token in ("{", "["):
+                objects += 1
+                boxes.append({"kind": token, "was": "open", "key": None, "count": -1, "step": step if box["kind"] else None, "id": objects})
+                continue
+            name = "string" if m["string"] else "scalar"
+            steps = [b["step"] for b in boxes if b["step"] is not None] + ([step] if box["kind"] else [])
             yield {
-                "value": json.loads(string, strict=False), "key": top["key"] if top and top["kind"] == "{" else None,
-                "path": "/" + "/".join(steps), "start": m.start(1), "end": m.end(1), "objects": [s["id"] for s in stack if s["kind"] == "{"],
+                "value": json.loads(m["string"], strict=False) if m["string"] else m["scalar"], "is_string": name == "string", "key": box["key"] if box["kind"] == "{" else None,
+                "path": "/" + "/".join(steps), "start": m.start(name), "end": m.end(name), "objects": [b["id"] for b in boxes if b["kind"] == "{"],
             }
-    if stack or not done:
-        raise ValueError("JSON: unexpected end")
+        elif token in ("}", "]"):
+            boxes.pop()
+        else:
+            box["was"] = token
 
 
 def split_codes(value: str, rules: list[str]) -> list[dict]:
@@ -166,15 +178,19 @@ def split_codes(value: str, rules: list[str]) -> list[dict]:
     return out + ([text(value[at:])] if at < len(value) or not out else [])
 
 
+JSON_CODES = r"</?([A-Z0-9a-z]*)\b[^>]*>"  # fixed value: the rule where a code finder is asked for without one
+
+
 def parse_json(source: str, **o) -> Iterator[dict]:
     """String values that the rules take, with names, notes, ids, generic metadata and width limits.
 
+    Facts about an object (ids, notes, metadata, widths) may be numbers and booleans too, as they are written.
     A rule is a regular expression that has to match a whole key, or the whole path with useFullKeyPath;
     exceptions only have to be found in it. An extraction rule decides alone for the values that have a key;
     else extractAllPairs or extractStandalone decides and an exception turns the decision round.
     """
     full, lead = o.get("useFullKeyPath", False), o.get("useLeadingSlashOnKeyPath", True)
-    spans = list(json_strings(source))
+    spans = list(json_values(source))
     target = lambda s: s["path"] if full else s["key"] or ""
     hit = lambda rule, s: bool(rule) and re.fullmatch(rule, target(s)) is not None
     facts: dict[int, dict] = {}
@@ -184,14 +200,14 @@ def parse_json(source: str, **o) -> Iterator[dict]:
             if s["key"] is not None and s["objects"] and hit(o.get(rule), s):
                 own = facts.setdefault(s["objects"][-1], {"note": [], "meta": {}})
                 if name == "note":
-                    own["note"].append(s["value"])
+                    own["note"].append({"from": s["key"], "text": s["value"]})
                 elif name == "meta":
                     own["meta"][s["key"]] = s["value"]
                 else:
                     own[name] = s["value"]
                 taken.add(n)
     for n, s in enumerate(spans):
-        if n in taken:
+        if n in taken or not s["is_string"]:
             continue
         if s["key"] is not None and o.get("extractionRules"):
             wanted = hit(o["extractionRules"], s)
@@ -210,14 +226,15 @@ def parse_json(source: str, **o) -> Iterator[dict]:
             near = chain[-1]
             meta |= {"notes": json.dumps(near["note"], ensure_ascii=False)} if near["note"] else {}
             meta |= {"generic_meta": json.dumps(near["meta"], ensure_ascii=False)} if near["meta"] else {}
-            meta |= {"max_width": near["width"], "size_unit": o.get("maxwidthSizeUnit", "char")} if "width" in near else {}
+            meta |= {"max_width": near["width"], "size_unit": o.get("maxwidthSizeUnit") or ""} if "width" in near else {}
         if o.get("subfilter") and (not o.get("subfilterRules") or hit(o["subfilterRules"], s)):
             yield event("START_SUBFILTER", f"sf{n + 1}", metadata=meta, span=(s["start"], s["end"]))
             for e in PARSERS[o["subfilter"]](s["value"]):
                 yield e | {"unit_id": f"sf{n + 1}_{e['unit_id']}", "metadata": (e["metadata"] or {}) | {"parent_path": s["path"]}, "span_start": None, "span_end": None}
             yield event("END_SUBFILTER", f"sf{n + 1}")
             continue
-        rules = o.get("codeFinderRules", []) if o.get("useCodeFinder") else []
+        rules = o.get("codeFinderRules") or [JSON_CODES]
+        rules = ([rules] if isinstance(rules, str) else rules) if o.get("useCodeFinder") else []
         yield unit(str(n + 1), split_codes(s["value"], rules), meta, (s["start"], s["end"]))
 
 
@@ -225,13 +242,15 @@ def parse_yaml(source: str, **_) -> Iterator[dict]:
     """One unit for each scalar value but nulls, in all documents; paths join keys and positions."""
     import yaml
 
-    n = 0
+    n, seen = 0, set()
     for root in yaml.compose_all(source, Loader=yaml.SafeLoader):
         todo = [(root, "")]
         while todo:
             node, path = todo.pop()
-            if node is None:
-                continue
+            if node is None or node.start_mark.index in seen and not isinstance(node, yaml.MappingNode | yaml.SequenceNode):
+                continue  # an alias names a node that has its unit already
+            if isinstance(node, yaml.ScalarNode):
+                seen.add(node.start_mark.index)
             if isinstance(node, yaml.MappingNode):
                 todo += [(v, f"{path}/{k.value}".lstrip("/")) for k, v in reversed(node.value)]
             elif isinstance(node, yaml.SequenceNode):
@@ -239,7 +258,9 @@ def parse_yaml(source: str, **_) -> Iterator[dict]:
             elif node.tag != "tag:yaml.org,2002:null":
                 n += 1
                 span = (node.start_mark.index, node.end_mark.index)
-                yield unit(str(n), [text(node.value)], {"yaml_path": path, "original": node.value, "scalar_style": node.style or "plain"}, span)
+                if span[0] == span[1]:
+                    continue
+                yield unit(str(n), [text(node.value)], {"yaml_path": path, "original": node.value, "literal": source[span[0] : span[1]], "scalar_style": node.style or "plain"}, span)
 
 
 def local(tag: str) -> str:
@@ -258,15 +279,19 @@ def mixed(el: ET.Element) -> list[dict]:
 
 
 def parse_xliff(source: str, **_) -> Iterator[dict]:
+    """trans-units with a source in document order, with the languages of the file they stand in."""
     root = ET.fromstring(source)
+    languages = {}
     for el in root.iter():
+        if local(el.tag) == "file":
+            languages = {"source_language": el.get("source-language", ""), "target_language": el.get("target-language", "")}
         if local(el.tag) != "trans-unit":
             continue
         sides = {local(c.tag): c for c in reversed(list(el)) if local(c.tag) in ("source", "target")}
         if "source" in sides:
             uid, target = el.get("id", ""), sides.get("target")
             parts = mixed(sides["source"])
-            meta = {"part": "source", "trans_unit_id": uid, "source_original": "".join(sides["source"].itertext())}
+            meta = {"part": "source", "trans_unit_id": uid, "source_original": "".join(sides["source"].itertext())} | languages
             yield unit(uid, parts, meta, target=None if target is None else mixed(target))
 
 
@@ -367,111 +392,14 @@ def parse_epub(source: bytes, **_) -> Iterator[dict]:
                     yield e | {"metadata": e["metadata"] | {"epub_path": name}}
 
 
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"  # fixed values: OOXML name spaces
-R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-CORE = ("title", "subject", "creator", "description", "category", "contentStatus", "keywords")
-
+def _word(source: bytes, **o) -> Iterator[dict]:
+    from .word import parse_docx
 
-def run_parts(el: ET.Element, links: dict[str, str], hidden: bool) -> list[dict]:
-    """Parts of a paragraph's inline content: inserted text stays, deleted text goes, references are codes."""
-    out: list[dict] = []
-    for c in el:
-        name = local(c.tag)
-        if name in ("del", "moveFrom", "pPr", "rPr"):
-            continue
-        if name == "r":
-            off = c.find(f"{W}rPr/{W}vanish")
-            if off is not None and off.get(f"{W}val") not in ("0", "false", "off") and not hidden:
-                continue
-            out += run_parts(c, links, hidden)
-        elif name == "hyperlink":
-            inner, target = run_parts(c, links, hidden), links.get(c.get(f"{R}id", ""))
-            if len(inner) == 1 and inner[0]["ptype"] == "text":
-                out.append(code(inner[0]["text"], "hyperlink", target))
-            else:
-                out += [markup("start", "w:hyperlink") | {"target": target}, *inner, markup("end", "w:hyperlink")]
-        elif name == "t":
-            out.append(text(c.text or ""))
-        elif name in ("delText", "fldSimple"):
-            out.append(code("".join(c.itertext()), "protected"))
-        elif name == "instrText":
-            out.append(code(c.text or "", "field_instruction"))
-        elif name == "fldChar":
-            out.append(code(c.get(f"{W}fldCharType", ""), "field_char"))
-        elif name in ("footnoteReference", "endnoteReference"):
-            out.append(code(c.get(f"{W}id", ""), name.removesuffix("Reference")))
-        elif name in ("tab", "br", "noBreakHyphen", "bookmarkStart", "bookmarkEnd"):
-            kind = {"tab": "tab", "br": "line_break", "noBreakHyphen": "no_break_hyphen", "bookmarkStart": "bookmark_start", "bookmarkEnd": "bookmark_end"}[name]
-            out.append(code(c.get(f"{W}name", c.get(f"{W}id", "")), kind))
-        elif name == "proofErr":
-            out.append(markup("empty", "w:proofErr", [(local(k), v) for k, v in c.attrib.items()]))
-        elif name in ("ins", "moveTo", "smartTag", "sdt", "sdtContent", "ruby", "rubyBase"):
-            out += run_parts(c, links, hidden)
-    return out
-
-
-def parse_docx(source: bytes, **o) -> Iterator[dict]:
-    """Core properties, body with tables, headers and footers, notes and comments, in this order.
-
-    Paragraphs are located by their place among all of a part's paragraphs, whatever is left out.
-    """
-    with zipfile.ZipFile(io.BytesIO(source)) as z:
-        names = z.namelist()
-        n = 0
-
-        def links(part_name: str) -> dict[str, str]:
-            folder, base = part_name.rsplit("/", 1)
-            rels = f"{folder}/_rels/{base}.rels"
-            return {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read(rels))} if rels in names else {}
-
-        def paragraphs(root: ET.Element, part_name: str, meta: dict) -> Iterator[tuple[list, dict]]:
-            targets = links(part_name)
-            place = {id(p): str(i) for i, p in enumerate(root.iter(f"{W}p"))}
-            cells = {}
-            for t, table in enumerate(root.iter(f"{W}tbl")):
-                for r, row in enumerate(table.findall(f"{W}tr")):
-                    for c, cell in enumerate(row.findall(f"{W}tc")):
-                        for p in cell.findall(f"{W}p"):
-                            cells[id(p)] = {"table": str(t), "row": str(r), "cell": str(c)}
-            for p in root.iter(f"{W}p"):
-                parts = run_parts(p, targets, o.get("include_hidden", False))
-                style, num = p.find(f"{W}pPr/{W}pStyle"), p.find(f"{W}pPr/{W}numPr")
-                own = dict(meta) | {"source_part_name": part_name, "source_paragraph_index": place[id(p)]} | cells.get(id(p), {})
-                if style is not None:
-                    own["style"] = style.get(f"{W}val", "")
-                if own.get("style") in o.get("exclude_styles", ()):
-                    continue
-                if num is not None:
-                    level, number = num.find(f"{W}ilvl"), num.find(f"{W}numId")
-                    own |= {"num_level": level.get(f"{W}val") if level is not None else "0", "num_id": number.get(f"{W}val") if number is not None else ""}
-                if parts:
-                    yield parts, own
-
-        if "docProps/core.xml" in names:
-            for el in ET.fromstring(z.read("docProps/core.xml")):
-                if local(el.tag) in CORE and (el.text or "").strip():
-                    n += 1
-                    yield unit(str(n), [text(el.text)], {"part": "core_properties", "source_element_tag": local(el.tag)})
-        wanted = [("word/document.xml", "body", None)]
-        if o.get("include_headers_footers", True):
-            wanted += [(x, "header" if "/header" in x else "footer", None) for x in sorted(names) if re.fullmatch(r"word/(header|footer)\d*\.xml", x)]
-        wanted += [(f"word/{k}s.xml", k, k) for k in ("footnote", "endnote") if f"word/{k}s.xml" in names]
-        if o.get("include_comments", True) and "word/comments.xml" in names:
-            wanted.append(("word/comments.xml", "comment", "comment"))
-        for name, kind, holder in wanted:
-            root = ET.fromstring(z.read(name))
-            for el in root.findall(f"{W}{holder}") if holder else [root]:
-                note = el.get(f"{W}id")
-                if kind in ("footnote", "endnote") and note in ("-1", "0"):
-                    continue
-                meta = {"part": kind} | ({"comment_id" if kind == "comment" else "note_id": note} if holder else {})
-                for parts, own in paragraphs(el, name, meta):
-                    n += 1
-                    yield unit(str(n), parts, own)
+    return parse_docx(source, **o)
 
 
 PARSERS = {
     "txt": parse_txt, "html": parse_html, "json": parse_json, "yaml": parse_yaml, "xliff": parse_xliff, "xliff2": parse_xliff2,
-    "epub": parse_epub, "markdown": parse_markdown, "lines": parse_lines, "docx": parse_docx,
+    "epub": parse_epub, "markdown": parse_markdown, "lines": parse_lines, "docx": _word,
 }
 BINARY = {"epub", "docx"}
