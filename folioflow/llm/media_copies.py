@@ -17,16 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage
+from .common import bounded_batches, drop_staged, stage
 from .components import linked_by_lists
 
-SCALES = (1.0, 0.75)
+SCALES = (1.0, 0.87, 0.75)
 CORNERS = 40
 RADIUS = 11
 TESTS = 256
 ANGLES = 36
 MAX_HAMMING = 48
-MIN_SHARED = 3
+MIN_SHARED = 2
 MIN_INLIERS = 8
 NEAR_PIXELS = 3.0
 _RNG = np.random.default_rng(0xB1E)
@@ -180,24 +180,35 @@ def media_classes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
         for batch in batches:
             rows = []
             for data in batch["image"]:
+                if data is None:
+                    rows.append((None, 0, None, None, None))
+                    continue
                 image = read_image(bytes(data))
                 points, words = describe(image) if image is not None and min(image.shape) > 1 else describe(np.zeros((1, 1)))
                 unit = xxhash.xxh3_64_intdigest(bytes(data)) >> 1
                 rows.append((unit, len(points), zlib.crc32(bytes(data)), points.tobytes(), words.tobytes()))
-            made = pd.DataFrame(rows, columns=["unit", "n_corners", "image_crc32", "points", "words"])
+            made = pd.DataFrame(rows, columns=["unit", "n_corners", "image_crc32", "points", "words"]).astype({"unit": "Int64", "image_crc32": "Int64"})
             yield made.assign(id=batch["id"].to_numpy())
 
     rows = media.select(F.col(id_col).cast("string").alias("id"), F.col(image_col).alias("image"))
-    made = rows.filter("image IS NOT NULL").mapInPandas(run, "id string, unit long, n_corners int, image_crc32 long, points binary, words binary")
+    # Pictures are described where they are made or read: only descriptors are staged, once.
+    made = rows.mapInPandas(run, "id string, unit long, n_corners int, image_crc32 long, points binary, words binary")
     kind = media.schema[id_col].dataType
-    made = stage(made.withColumn("id", F.col("id").cast(kind)), "media")
-    images = stage(made.select("unit", "points", "words").dropDuplicates(["unit"]), "images")
+    made = stage(made.withColumn("id", F.col("id").cast(kind)).withColumn("row", F.monotonically_increasing_id()), "media")
+    images = made.filter("unit IS NOT NULL").select("unit", "points", "words", "row")
+    again = stage(images.groupBy("unit").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "equal-images")
+    if not again.isEmpty():
+        images = images.join(again, "unit", "left").filter("first IS NULL OR first = row")
+    images = images.select("unit", "points", "words")
 
     @F.pandas_udf("array<long>")
     def keys(words: pd.Series) -> pd.Series:
         return words.map(lambda w: bands(np.frombuffer(w, np.uint64).reshape(-1, TESTS // 64)))
 
-    buckets = images.select("unit", F.explode(keys("words")).alias("token")).select("token", "unit", F.lit(0).cast("long").alias("sig"), F.lit(1).cast("long").alias("weight"))
+    buckets = images.select("unit", F.explode(keys("words")).alias("token")).select("token", "unit").repartition("token")
+    shared = buckets.groupBy("token").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).filter("lo <> hi").select("token")
+    lists = buckets.join(shared.hint("merge"), "token").select("token", "unit", F.lit(0).cast("long").alias("sig"), F.lit(1).cast("long").alias("weight"))
+    lists = stage(lists, "media-lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: images.selectExpr(f"unit {x}", f"points p{x}", f"words w{x}")
@@ -211,14 +222,14 @@ def media_classes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return stage(both.filter(same("pa", "wa", "pb", "wb")).select("a", "b"), "linked")
 
-    comps = linked_by_lists(buckets, verify, shared=MIN_SHARED)
-    least = made.groupBy("unit").agg(F.min("id").alias("least")).join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
+    comps = linked_by_lists(lists, verify, shared=MIN_SHARED)
+    drop_staged(lists)
+    found = made.filter("unit IS NOT NULL").select("id", "unit", "n_corners", "image_crc32")
+    least = found.groupBy("unit").agg(F.min("id").alias("least")).join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
     roots = least.groupBy("comp").agg(F.min("least").alias("class_id"))
-    named = made.join(least.join(roots, "comp").select("unit", "class_id"), "unit")
+    named = found.join(least.join(roots, "comp").select("unit", "class_id"), "unit")
     named = named.select(F.col("id").alias(id_col), "class_id", "n_corners", "image_crc32")
-    empty = media.filter(F.col(image_col).isNull()).select(
-        F.col(id_col), F.col(id_col).alias("class_id"), F.lit(0).alias("n_corners"), F.lit(None).cast("long").alias("image_crc32")
-    )
+    empty = made.filter("unit IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), "n_corners", "image_crc32")
     return named.unionByName(empty)
 
 

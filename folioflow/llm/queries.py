@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, media_copies, packing, piece_codec, sharding, token_counts
-from .common import stage, table
+from .common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 SHARDS, OLD_SHARDS = 16, 12
@@ -34,7 +34,7 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images are rendered from the vectors: vectors of one scene are edited views of it."""
-    media = stage(media_copies.with_images(table(spark, sf_dir, "embeddings")), "media-column")
+    media = media_copies.with_images(table(spark, sf_dir, "embeddings"))
     return media_copies.media_classes(media, "vec_id", "image")
 
 
