@@ -1,10 +1,15 @@
-"""Unit-level operators over the event table: pure Catalyst expressions."""
+"""Unit-level operators over the event table: Catalyst expressions, but for codes that reach over several runs."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import PART, code
+
 
 def units(events: DataFrame) -> DataFrame:
     return events.filter("event_type = 'TEXT_UNIT'")
@@ -38,3 +43,44 @@ def balanced(events: DataFrame) -> DataFrame:
     step = F.when(F.col("event_type").startswith("START_"), 1).when(F.col("event_type").startswith("END_"), -1).otherwise(0)
     depth = F.sum(step).over(Window.partitionBy("doc_id").orderBy("seq"))
     return events.withColumn("depth", depth).groupBy("doc_id").agg(((F.min("depth") >= 0) & (F.max_by("depth", "seq") == 0)).alias("balanced"))
+
+
+def split_across(parts: list[dict], rules: list[re.Pattern]) -> list[dict]:
+    """Parts with codes for what the rules find in the text parts taken together.
+
+    A match may reach over several runs: its code stands where it begins, the other runs lose their share. Of matches
+    that overlap, the first counts, the shorter if they begin together; empty matches do not count.
+    """
+    whole = "".join(p["text"] or "" for p in parts if p["ptype"] == "text")
+    found, cursor = [], 0
+    for start, end in sorted(m.span() for rule in rules for m in rule.finditer(whole)):
+        if start >= cursor and end > start:
+            found.append((start, end))
+            cursor = end
+    out, at, k = [], 0, 0
+    for p in parts:
+        if p["ptype"] != "text" or not p["text"]:
+            out.append(p)
+            continue
+        stop = at + len(p["text"])
+        while at < stop:
+            while k < len(found) and found[k][1] <= at:
+                k += 1
+            start, end = found[k] if k < len(found) else (stop, stop)
+            if start > at:  # plain text up to the next match or the end of the run
+                out.append(p | {"text": whole[at : min(start, stop)]})
+            elif start == at:
+                out.append(code(whole[start:end], "regxph"))
+            at = min(start, stop) if start > at else min(end, stop)
+    return out
+
+
+def codes_across(parts: str | Column, rules: list[str]) -> Column:
+    """``split_across`` of a parts column by rules in Python's pattern language."""
+
+    @F.pandas_udf(f"array<{PART}>")
+    def run(column: pd.Series) -> pd.Series:
+        compiled = [re.compile(r) for r in rules]
+        return pd.Series([None if found is None else split_across(list(found), compiled) for found in column], dtype=object)
+
+    return run(parts)

@@ -349,4 +349,4 @@ def ipc_decode(spark, sf_dir):
     return catalog.decode_ipc(e.select(line.alias("value")))
 
 
-from . import analysis, writing  # noqa: E402, F401  - they register their queries here
+from . import analysis, building, writing  # noqa: E402, F401  - they register their queries here

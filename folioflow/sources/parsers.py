@@ -398,8 +398,29 @@ def _word(source: bytes, **o) -> Iterator[dict]:
     return parse_docx(source, **o)
 
 
+# Markers of the token types that pairs are made of.
+MARKERS = {"STRONG_EMPHASIS": ("**", "bold"), "EMPHASIS": ("*", "italic"), "CODE": ("`", "inline_code")}
+
+
+def parse_tokens(source: str, rules=tuple(MARKERS), **_) -> Iterator[dict]:
+    """One unit, its paired markers as codes; ``rules``: token types, an earlier one goes first where several fit.
+
+    What stands between two equal markers is text. A marker without a partner is text too.
+    """
+    kinds = dict(MARKERS[r] for r in rules if r in MARKERS)
+    parts, at = [], 0
+    for m in re.finditer(f"({'|'.join(map(re.escape, kinds))})(?:(.*?)\\1)?", source, re.DOTALL) if kinds else ():
+        if m[2] is not None:
+            mark = code(m[1], kinds[m[1]])
+            parts += [p for p in (text(source[at : m.start()]), mark, text(m[2]), mark) if p["text"] != ""]
+            at = m.end()
+    if at < len(source) or not parts:
+        parts.append(text(source[at:]))
+    yield unit("generated-1", parts, {}, (0, len(source)))
+
+
 PARSERS = {
     "txt": parse_txt, "html": parse_html, "json": parse_json, "yaml": parse_yaml, "xliff": parse_xliff, "xliff2": parse_xliff2,
-    "epub": parse_epub, "markdown": parse_markdown, "lines": parse_lines, "docx": _word,
+    "epub": parse_epub, "markdown": parse_markdown, "lines": parse_lines, "docx": _word, "tokens": parse_tokens,
 }
 BINARY = {"epub", "docx"}

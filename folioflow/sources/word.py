@@ -175,7 +175,7 @@ class Part:
             elif name in ("footnoteReference", "endnoteReference"):
                 out.append(code(c.get(f"{W}id", ""), name.removesuffix("Reference")))
             elif name in PLAIN_CODES:
-                out.append(code(c.get(f"{W}name", c.get(f"{W}id", "")), PLAIN_CODES[name]))
+                out.append(code(c.get(f"{W}name", c.get(f"{W}id", "")), PLAIN_CODES[name], c.get(f"{W}id") if name == "bookmarkStart" else None))
             elif name == "proofErr":
                 out.append(markup("empty", "w:proofErr", [(local(k), v) for k, v in c.attrib.items()]))
             elif name in ("ins", "moveTo", "smartTag", "sdt", "sdtContent", "ruby", "rubyBase"):
@@ -216,7 +216,7 @@ class Part:
             for k, forms in enumerate(self.boxes(p)):
                 paired = [list(box.iter(f"{W}p")) for _, box in forms]
                 for n, q in enumerate(paired[0]):
-                    more = {"text_box": str(k)} | {f"textbox_{form}": "true" for form, _ in forms}
+                    more = {"text_box": str(k), "text_box_host": str(self.place[id(p)])} | {f"textbox_{form}": "true" for form, _ in forms}
                     more |= {"paired_paragraph_index": str(self.place[id(paired[1][n])])} if len(paired) > 1 else {}
                     yield from self.paragraph(q, meta | more)
             for el in p.iter() if attributes else ():
