@@ -85,7 +85,9 @@ def linked_by_lists(lists: DataFrame, verify, may_link: str = "true", size: str
     listing = lists.drop("weight").withColumn("before", F.coalesce(F.lag("token").over(order), F.lit(-1)) if shared == 1 else F.lit(-1))
     held = listing.join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit")).repartition("token")
     major = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
-    major = major.agg(F.max(F.struct("k", "comp")).getField("comp").alias("major"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several")
+    major = major.agg(F.max(F.struct("k", "comp")).getField("comp").alias("major"), F.count(F.lit(1)).alias("several"), F.sum("k").alias("n"))
+    # Two units alone in a list have met as rays, which settles them if one shared list is enough.
+    major = major.filter("several > 1" + (" AND n > 2" if shared == 1 else "")).drop("several", "n")
     marked = stage(held.join(major.hint("merge"), "token"), "marked")
     spent, third = [rays, first, marked], None
     alone = marked
