@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from folioflow.llm import exact_dedup, jaccard_join, language_id, packing, sharding
+from folioflow.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, queries, sharding
 from folioflow.llm.common import stage
 from pyspark.sql import functions as F
 
@@ -114,3 +114,27 @@ def test_pipeline_without_labels_or_rows(spark):
     nothing = docs.limit(0)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, nothing, "").count() == 0
+
+
+def test_grams_meet_at_like_places_only(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase = word(60)
+    lines = [word(20 * i) + phrase + word(540 - 20 * i) for i in range(12)]  # one length, one passage, places 20 apart
+    docs = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    lists = lambda rows: line_dedup.shared_keys(line_dedup.parcels(docs(rows), "text", 2, 32, 2, frozenset(), 1), 2, 2).filter("token IS NOT NULL")
+    assert lists(lines).count() == 0
+    near = []
+    for i, line in enumerate(["-" * 400, "ab" * 150, word(9) + "=" * 260 + word(9), *lines[:4], word(7000), "x" * 300 + word(40)]):
+        k = len(line) // 50
+        near += [line, "q" * (k // 2) + line[: len(line) - k // 4 - 1] + "z", line[k:], line[: 30 + i] + "yy" + line[30 + i :]]
+    docs(near).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["class_doc"] for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    limit = lambda a, b: max(2, min(len(a), len(b)) // 50)
+    want = list(range(len(near)))
+    for _ in range(3):
+        for a in range(len(near)):
+            for b in range(len(near)):
+                if abs(len(near[a]) - len(near[b])) <= (m := limit(near[a], near[b])) and line_dedup.wide_distance(near[a], near[b]) <= m:
+                    want[a] = min(want[a], want[b])
+    assert got == dict(enumerate(want))
