@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32_of_id, text_or_empty
+from .common import bounded_batches, crc32_of_id, give_back, text_or_empty
 
 DIMENSIONS = 1024
 #: Texts of training rows per language are taken by hash up to about this many (a bound on fitting only).
@@ -24,7 +24,7 @@ TRAIN_ROWS = 20_000
 MOST_LABELS = 1024
 FIT_TASKS = 12
 UNKNOWN = "und"
-BLOCK_KEYS = 400_000
+BLOCK_KEYS, BLOCK_GRAMS = 400_000, 2048
 
 
 class Profiles:
@@ -66,8 +66,8 @@ class Profiles:
         items = np.array(self.items)
         mask = (1 << 20) - 1
         rows = np.repeat(np.arange(len(texts)), sizes)
-        for at in range(0, len(grams), 8192):
-            g = grams[at : at + 8192]
+        for at in range(0, len(grams), BLOCK_GRAMS):
+            g = grams[at : at + BLOCK_GRAMS]
             bound = np.roll(items, 2, 1)[g >> 40] * np.roll(items, 1, 1)[(g >> 20) & mask] * items[g & mask]
             here = (place >= at) & (place < at + len(g))
             counts = np.bincount(rows[here] * len(g) + place[here] - at, minlength=len(texts) * len(g))
@@ -116,6 +116,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
                 weighed = vectors / np.sqrt(np.maximum(sizes, 1))[:, None]
                 for label in set(labels[at : at + len(sizes)]):
                     sums[label] = sums.get(label, 0) + weighed[labels[at : at + len(sizes)] == label].sum(0, dtype=np.float64)
+        give_back()
         if sums:
             yield pd.DataFrame({"label": list(sums), "v": [v.tolist() for v in sums.values()]})
 
@@ -155,6 +156,7 @@ def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, text_col
             best = cosines.argmax(1)
             for i in np.flatnonzero(sizes).tolist():
                 pred[at + i], score[at + i] = names[best[i]], min(1.0, max(0.0, float(cosines[i, best[i]])))
+        give_back()
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
     out = docs.select(*[F.col(c) for c in keep or docs.columns], decide(text_or_empty(text_col)).alias("_p"))
