@@ -124,6 +124,7 @@ def test_grams_meet_at_like_places_only(spark, tmp_path):
     docs = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     lists = lambda rows: line_dedup.shared_keys(line_dedup.parcels(docs(rows), "text", 2, 32, 2, frozenset(), 1), 2, 2).filter("token IS NOT NULL")
     assert lists(lines).count() == 0
+    assert lists([word(100) + phrase[:20] + word(480) for _ in range(8)]).count() == 0  # one place, but nothing beside
     near = []
     for i, line in enumerate(["-" * 400, "ab" * 150, word(9) + "=" * 260 + word(9), *lines[:4], word(7000), "x" * 300 + word(40)]):
         k = len(line) // 50
