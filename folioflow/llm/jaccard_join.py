@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, drop_staged, stage, text_or_empty
+from .common import BROADCAST_ROWS, bounded_batches, drop_staged, give_back, stage, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -207,6 +207,7 @@ def first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held, size, seen = [], 0, set()
         if held:
             yield often()
+        give_back()
 
     names = ["doc_id", "t", "n_shingles", "node", "check", "token", "k"]
     whole = rows_of(names, "doc_id")
@@ -261,6 +262,7 @@ def group_index(docs: DataFrame, text_col: str, hot, node_twins: frozenset, grou
                 yield whole(h.drop(columns="rows"))
                 if tokens:
                     yield whole(pd.DataFrame({"token": np.concatenate(tokens), "grp": np.repeat(h["grp"].to_numpy(), h["rows"])}))
+        give_back()
 
     names = ["token", "grp", "gcheck", "node", "n", "mx", "p", "hot", "sig"]
     whole = rows_of(names, "sig")
@@ -306,6 +308,7 @@ class Sets:
             for batch in batches:
                 made = batch_shingles(batch["_text"].tolist())
                 yield pd.DataFrame({"node": [named(keys_of(x), twins) if len(x) else 0 for x in made], "s": made})
+            give_back()
 
         if self.found is not None:
             wanted = wanted.join(self.found.select("node"), "node", "left_anti")
