@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, text_or_empty
+from .common import bounded_batches, give_back, stage, text_or_empty
 from .token_counts import byte_alphabet
 
 GROUP_PIECES = 65_536
 ROUNDS = 4
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
 #: Letters beyond ASCII that NFC leaves alone and that lower-case one by one.
 LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
@@ -84,6 +84,12 @@ class TextIds:
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, WORDS(text.lower())))
 
+    def forget(self) -> None:
+        """Empties the caches; a worker that waits would keep them beside the next job's tables."""
+        for cache in (self.words, self.chunks):
+            cache.clear()
+            cache.old = {}
+
     def document(self, text: str) -> bytes:
         if PLAIN(text) and "<|" not in text:
             return self.plain(text)
@@ -108,6 +114,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     part = data[at : at + step]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": object})
+        ids.forget()
+        give_back()
 
     rows = docs.select(
         F.col(id_col).cast("string").alias("doc_id"),

@@ -139,3 +139,28 @@ def test_grams_meet_at_like_places_only(spark, tmp_path):
                 if abs(len(near[a]) - len(near[b])) <= (m := limit(near[a], near[b])) and line_dedup.wide_distance(near[a], near[b]) <= m:
                     want[a] = min(want[a], want[b])
     assert got == dict(enumerate(want))
+
+
+def test_keys_travel_in_small_frames(spark):
+    """What a worker gathers before it ships is bounded: two of them and the heap share an executor."""
+    rng = random.Random(3)
+    parts = [f"{rng.getrandbits(1000):0250x}" for _ in range(2000)]
+    lines = "\n".join(parts[i] + parts[(i * 7 + j) % 2000] for j in range(1, 11) for i in range(2000))
+    docs = spark.createDataFrame([(1, lines)], SCHEMA).coalesce(1)
+    sizes = [r["n"] for r in line_dedup.parcels(docs, "text", 2, 32, 2, frozenset(), 1).select(F.octet_length("keys").alias("n")).collect()]
+    assert sum(sizes) > 17 * 600_000 and max(sizes) < 17 * 600_000
+
+
+def test_packing_leaves_no_words_in_waiting_workers(spark):
+    import pandas as pd
+
+    made, real = [], spark.createDataFrame([(1, "x")], SCHEMA)
+
+    class Rows:
+        sparkSession, schema = spark, real.schema
+        select = lambda self, *_: self
+        mapInPandas = lambda self, f, _: made.append(f) or real
+
+    packing.pieces(Rows(), queries.vocabulary(queries.WORD_VOCABULARY))
+    assert len(list(made[0](iter([pd.DataFrame({"doc_id": ["1"], "text": ["some words"]})])))) == 1
+    assert packing._IDS and not any(x.words or x.words.old for x in packing._IDS.values())
