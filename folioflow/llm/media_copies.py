@@ -4,6 +4,11 @@ Corners are found at several scales; each gets an orientation from the centroid
 tests turned by it. Descriptors meet in tables of four 64-bit bands (two within 3 bits share a band whole; a copy
 needs only some of its many corners to meet, and shorter bands of plain corners meet in unrelated images). Images that share enough bands are compared corner by corner, and
 link if enough matches agree on one similarity transform, as in a crop, a turn or a change of light.
+
+Tables are made in slices of their keys. One slice of FIRST_SLICES gives first components: each round every component
+tries the pair that shares most of its bands. Then all keys are gone through, SLICES runs one after the other, and only
+lists of several components are kept; pairs there whose components differ are counted over all slices and compared. A
+pair inside one component needs no check, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -14,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_staged, stage
-from .components import linked_by_lists
+from .common import BROADCAST_ROWS, bounded_batches, drop_staged, stage
+from .components import components
 
 SCALES = (1.0, 0.87, 0.75)
 CORNERS = 40
@@ -29,6 +34,11 @@ MAX_HAMMING = 48
 MIN_SHARED = 2
 MIN_INLIERS = 8
 NEAR_PIXELS = 3.0
+FIRST_SLICES, SLICES = 16, 4
+#: Rounds of nearest pairs, and the share of tried pairs that must link for one more. They only decide when pairs are compared.
+ROUNDS, LEAST_GAIN = 6, 0.05
+#: Images that are compared with one in one task, and pairs whose descriptors travel at a time (as many as images, if those are more).
+COMPANY, PAIRS_AT_ONCE = 64, 40_000
 _RNG = np.random.default_rng(0xB1E)
 _TESTS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (TESTS, 4))), -RADIUS + 3, RADIUS - 3)
 _TURNED = np.stack(
@@ -156,7 +166,8 @@ def agreeing(pa: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) ->
     y = s[:, None] * (a[None, :, 0] - a[:, None, 0]) + c[:, None] * (a[None, :, 1] - a[:, None, 1]) + b[:, None, 1]
     fits = np.hypot(x - b[None, :, 0], y - b[None, :, 1]) <= NEAR_PIXELS
     # Corners found at two scales count once.
-    return max(len({(round(p[0] / 3), round(p[1] / 3)) for p in a[row]}) for row in fits)
+    places = np.unique(np.round(a[:, :2] / 3), axis=0, return_inverse=True)[1].ravel()
+    return int(((fits.astype(np.float32) @ (places[:, None] == np.arange(places.max() + 1)).astype(np.float32)) > 0).sum(1).max())
 
 
 def bands(words: np.ndarray) -> np.ndarray:
@@ -167,6 +178,107 @@ def bands(words: np.ndarray) -> np.ndarray:
     return np.unique(x ^ (x >> np.uint64(29))).view(np.int64)
 
 
+def compared(images: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b: units; a staged table) whose corners agree. Of a pair a's descriptors travel, and b's once for COMPANY pairs."""
+    shares = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / COMPANY).cast("int").alias("n")), "shares")
+    dealt = pairs.join(shares, "b").select(F.col("a").alias("unit"), F.col("b").alias("host"), F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("part"), F.lit(True).alias("guest"))
+    hosts = shares.select(F.col("b").alias("unit"), F.col("b").alias("host"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(False).alias("guest"))
+    seats = stage(dealt.union(hosts), "seats")
+    rows = images.join(F.broadcast(seats) if seats.count() <= BROADCAST_ROWS else seats, "unit").select("host", "part", "guest", "unit", "points", "words")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host = near = None
+        for batch in batches:
+            found = []
+            for h, guest, unit, points, words in zip(batch["host"].tolist(), batch["guest"].tolist(), batch["unit"].tolist(), batch["points"], batch["words"], strict=True):
+                own = np.frombuffer(points, np.float32).reshape(-1, 4), np.frombuffer(words, np.uint64).reshape(-1, TESTS // 64)
+                if not guest:
+                    host, near = h, own
+                elif h == host and agreeing(*own, *near) >= MIN_INLIERS:
+                    found.append((unit, h))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = stage(rows.repartition(parts, "host", "part").sortWithinPartitions("host", "part", "guest").mapInPandas(run, "a long, b long"), "linked")
+    drop_staged(shares, seats)
+    return out
+
+
+def token_lists(images: DataFrame, mark: str, part: int, slices: int) -> DataFrame:
+    """Staged rows (token, unit, ``mark``) of the keys of one slice, of tokens with several values of ``mark``."""
+
+    @F.pandas_udf("array<long>")
+    def keys(words: pd.Series) -> pd.Series:
+        made = (bands(np.frombuffer(w, np.uint64).reshape(-1, TESTS // 64)) for w in words)
+        return pd.Series([x[x & slices - 1 == part] for x in made], dtype=object)
+
+    columns = list(dict.fromkeys(["unit", mark]))
+    rows = images.select(*columns, F.explode(keys("words")).alias("token")).repartition("token")
+    several = rows.groupBy("token").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("token")
+    return stage(rows.join(several.hint("merge"), "token"), "media-lists")
+
+
+def first_components(images: DataFrame) -> DataFrame:
+    """node, comp by links among pairs that share MIN_SHARED bands of the first slice."""
+    lists = token_lists(images, "unit", 0, FIRST_SLICES)
+    beside = lists.select("token", F.col("unit").alias("a"), F.lag("unit").over(Window.partitionBy("token").orderBy("unit")).alias("b")).filter("a <> b")
+    above = lists.join(lists.groupBy("token").agg(F.max("unit").alias("b")), "token").select("token", F.col("unit").alias("a"), "b").filter("a <> b")
+    # A pair may be both in one list.
+    pairs = beside.union(above).selectExpr("token", "least(a, b) a", "greatest(a, b) b").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= MIN_SHARED)
+    rays, comps = stage(pairs, "rays"), components(images.selectExpr("unit a", "unit b").limit(0))
+    drop_staged(lists)
+    for _ in range(ROUNDS):
+        left = rays.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+        for x in "ab":
+            of = comps.select(F.col("node").alias(x), F.col("comp").alias("_c"))
+            left = left.join(of, x, "left").withColumn(f"c{x}", F.coalesce("_c", x)).drop("_c")
+        left = stage(left.filter("ca <> cb"), "left")
+        ends = left.select(F.col("ca").alias("k"), "a", "b", "c").union(left.select("cb", "a", "b", "c"))
+        tried = stage(ends.groupBy("k").agg(F.max(F.struct("c", "b", "a")).alias("r")).select("r.a", "r.b").distinct(), "tried")
+        n = tried.count()
+        if not n:
+            drop_staged(left, tried)
+            break
+        found = compared(images, tried)
+        gained = found.count()
+        older, comps = comps, components(found.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        again = stage(left.select("a", "b", "c").join(tried, ["a", "b"], "left_anti"), "rays")
+        drop_staged(rays, left, tried, found, older)
+        rays = again
+        if gained <= LEAST_GAIN * n:
+            break
+    drop_staged(rays)
+    return comps
+
+
+def linked_images(images: DataFrame) -> DataFrame:
+    """node, comp of linked images (unit, points, words); images that link with none may be missing."""
+    comps = first_components(images)
+    n = images.count()
+    of = comps.withColumnRenamed("node", "unit")
+    tagged = images.select("unit", "words").join(F.broadcast(of) if n <= BROADCAST_ROWS else of, "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
+    slices = [token_lists(tagged, "comp", part, SLICES) for part in range(SLICES)]
+    lists = slices[0]
+    for more in slices[1:]:
+        lists = lists.union(more)
+    lists = lists.select("token", "unit", "comp").repartition("token")
+    major = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).getField("comp").alias("major"))
+    marked = lists.join(major.hint("merge"), "token")
+    a = marked.filter("comp <> major").selectExpr("token", "unit a", "comp ac")
+    b = marked.selectExpr("token", "unit b", "comp bc", "comp = major bm")
+    met = a.join(b, "token").filter("ac <> bc AND (bm OR a < b)").selectExpr("least(a, b) a", "greatest(a, b) b")
+    rest = stage(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= MIN_SHARED).select("a", "b"), "rest")
+    drop_staged(*slices)
+    turns = -(-rest.count() // max(n, PAIRS_AT_ONCE))
+    links = [compared(images, rest.filter(F.pmod(F.xxhash64("b"), F.lit(turns)) == k)) for k in range(turns)]
+    every = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    for found in links:
+        every = every.union(found)
+    out = components(every)
+    drop_staged(comps, rest, *links)
+    return out
+
+
 def media_classes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     """``id_col``, class_id (smallest id reachable by links), n_corners, image_crc32 for every row.
 
@@ -201,29 +313,7 @@ def media_classes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
         images = images.join(again, "unit", "left").filter("first IS NULL OR first = row")
     images = images.select("unit", "points", "words")
 
-    @F.pandas_udf("array<long>")
-    def keys(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: bands(np.frombuffer(w, np.uint64).reshape(-1, TESTS // 64)))
-
-    buckets = images.select("unit", F.explode(keys("words")).alias("token")).select("token", "unit").repartition("token")
-    shared = buckets.groupBy("token").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).filter("lo <> hi").select("token")
-    lists = buckets.join(shared.hint("merge"), "token").select("token", "unit", F.lit(0).cast("long").alias("sig"), F.lit(1).cast("long").alias("weight"))
-    lists = stage(lists, "media-lists")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: images.selectExpr(f"unit {x}", f"points p{x}", f"words w{x}")
-
-        @F.pandas_udf("boolean")
-        def same(pa: pd.Series, wa: pd.Series, pb: pd.Series, wb: pd.Series) -> pd.Series:
-            p = lambda x: np.frombuffer(x, np.float32).reshape(-1, 4)
-            w = lambda x: np.frombuffer(x, np.uint64).reshape(-1, TESTS // 64)
-            return pd.Series([agreeing(p(a), w(b), p(c), w(d)) >= MIN_INLIERS for a, b, c, d in zip(pa, wa, pb, wb, strict=True)], dtype=bool)
-
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return stage(both.filter(same("pa", "wa", "pb", "wb")).select("a", "b"), "linked")
-
-    comps = linked_by_lists(lists, verify, shared=MIN_SHARED)
-    drop_staged(lists)
+    comps = linked_images(images)
     found = made.filter("unit IS NOT NULL").select("id", "unit", "n_corners", "image_crc32")
     least = found.groupBy("unit").agg(F.min("id").alias("least")).join(comps.withColumnRenamed("node", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
     roots = least.groupBy("comp").agg(F.min("least").alias("class_id"))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from folioflow.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, queries, sharding
+from folioflow.llm import exact_dedup, jaccard_join, language_id, line_dedup, media_copies, packing, queries, sharding
 from folioflow.llm.common import stage
 from pyspark.sql import functions as F
 
@@ -164,3 +164,14 @@ def test_packing_leaves_no_words_in_waiting_workers(spark):
     packing.pieces(Rows(), queries.vocabulary(queries.WORD_VOCABULARY))
     assert len(list(made[0](iter([pd.DataFrame({"doc_id": ["1"], "text": ["some words"]})])))) == 1
     assert packing._IDS and not any(x.words or x.words.old for x in packing._IDS.values())
+
+
+def test_views_of_one_scene_travel_once(spark):
+    """Descriptors do not travel with every pair of a scene's views."""
+    rows = [(i, [1.0] * 16) for i in range(200)] + [(200, [-1.0] * 16)]
+    media = stage(media_copies.with_images(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8)), "views")
+    shuffled = lambda: sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0)])
+    before = shuffled()
+    got = {r["vec_id"]: r["class_id"] for r in media_copies.media_classes(media, "vec_id", "image").collect()}
+    assert got == {i: 0 if i < 200 else 200 for i in range(201)}
+    assert shuffled() - before < 5_000_000
